@@ -100,3 +100,26 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             held.append(batch.slice(a, b - a))
     if held:
         yield held_key, pa.Table.from_batches(held)
+
+
+def aligned(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows of a stream sorted by `keys` that cut no group in two."""
+    held: list[pa.Table] = []
+    n = 0
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held.append(table)
+        n += table.num_rows
+        if n < rows:
+            continue
+        whole = pa.concat_tables(held).combine_chunks()
+        last = [whole.column(k)[n - 1].as_py() for k in keys]
+        lo, hi = 0, n - 1
+        while lo < hi:  # the first row of the last group; equal rows are at the end
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if [whole.column(k)[mid].as_py() for k in keys] == last else (mid + 1, hi)
+        if lo:
+            yield whole.slice(0, lo)
+        held, n = [whole.slice(lo)], n - lo
+    if n:
+        yield pa.concat_tables(held).combine_chunks()
