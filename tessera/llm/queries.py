@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, packing, quality, simhash, token_counts, url_rules, vector_dups
+from . import html_text, kneser_ney, mixing, packing, quality, simhash, token_counts, url_rules, vector_dups
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op4_source_mixing, op5_embedding_near_dedup, op7_packing, op8_html_extraction, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_lm_scoring, op4_source_mixing, op5_embedding_near_dedup, op7_packing, op8_html_extraction, op9_quality_rules, op10_token_counts)}
 ORACLES = {"op1_url_filters": url_rules.oracle(url_rules.RULES)}
