@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stream_groups, typed, utf8
-from .store import get, new_store, put, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from .store import Ranges, blobs, get, new_store, put, summed, unsqueeze, unsqueeze_sorted
 
 FOLDS, HELD_OUT = 7, 2
 #: A text cannot hold these as words, for they hold a space.
@@ -98,52 +98,6 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
         yield Slice(ids, texts)
 
 
-def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in ascending order, with the sums of their counts."""
-    if not len(keys):
-        return (keys, *counts)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return (keys[fresh], *(np.add.reduceat(c[order], fresh) for c in counts))
-
-
-class Ranges:
-    """Sorted hash arrays in files, one for each range of the hash's upper bits."""
-
-    def __init__(self, store: str, name: str, bits: int, sizes: dict[int, int]) -> None:
-        self.store, self.name, self.bits, self.sizes = store, name, bits, sizes
-        self.offset = np.zeros(2**bits + 1, np.int64)
-        self.offset[1:] = np.cumsum([sizes.get(i, 0) for i in range(2**bits)])
-
-    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range and place of each of the ascending hashes; place -1 for those not there."""
-        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        places = np.full(len(hashes), -1, np.int64)
-        for s, a, b in runs(shard):
-            if self.sizes.get(s):
-                held = get(self.store, f"{self.name}-{s}")
-                at = np.searchsorted(held, hashes[a:b])
-                at[at == len(held)] = 0
-                places[a:b] = np.where(held[at] == hashes[a:b], at, -1)
-        return shard, places
-
-    def read(self, what: str, shard: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Values of a further array that lies beside the hashes; 0 for place -1. shard is ascending."""
-        out = np.zeros(len(shard), np.int64)
-        for s, a, b in runs(shard):
-            there = places[a:b] >= 0
-            if there.any():
-                out[a:b][there] = get(self.store, f"{what}-{s}")[places[a:b][there]]
-        return out
-
-
-def runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
-        yield int(shard[a]), a, b
-
-
 def vocabulary(docs: DataFrame, store: str, bits: int) -> tuple[Ranges, int]:
     """The training words as Ranges "word" with "count"; the number of training tokens."""
 
@@ -188,17 +142,6 @@ def numbered(words: Ranges, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return numbers[back], shard[back], place[back]
 
 
-def blobs(shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """One row per range: its ascending keys and their columns, compressed."""
-    out: dict[str, list] = {"shard": [], "keys": [], **{f"c{i}": [] for i in range(len(columns))}}
-    for s, a, b in runs(shard):
-        out["shard"].append(s)
-        out["keys"].append(squeeze_sorted(keys[a:b]))
-        for i, c in enumerate(columns):
-            out[f"c{i}"].append(squeeze(c[a:b].astype(np.uint32)))
-    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
-
-
 def unblob(rows: pa.Table, columns: int) -> tuple[np.ndarray, ...]:
     """The merged keys of a range and the sums of their columns."""
     keys = np.concatenate([unsqueeze_sorted(x) for x in rows.column("keys").to_pylist()])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_text, kneser_ney, mixing, packing, quality, simhash, token_counts, url_rules, vector_dups
+from . import html_text, kneser_ney, mixing, packing, quality, simhash, suffix_repeats, token_counts, url_rules, vector_dups
 from .common import read_table
 
 
@@ -34,6 +35,11 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_repeats.kept_bytes(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,5 +57,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_lm_scoring, op4_source_mixing, op5_embedding_near_dedup, op7_packing, op8_html_extraction, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_lm_scoring, op4_source_mixing, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_packing, op8_html_extraction, op9_quality_rules, op10_token_counts)}
 ORACLES = {"op1_url_filters": url_rules.oracle(url_rules.RULES)}
