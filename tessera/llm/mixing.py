@@ -29,7 +29,7 @@ from .common import cut, word_count
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 #: Documents in a block, about.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Up to so many sources the plan, one short row per source, is broadcast.
 BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
