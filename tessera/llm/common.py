@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,25 @@ def folder(spark: SparkSession) -> str:
     return given or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
 
 
+#: Applications whose workers have been given this package.
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, for those that don't have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir():  # else it came from such an archive
+        archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        sc.addPyFile(archive)
+    SHIPPED.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -64,6 +87,7 @@ def typed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +100,6 @@ def typed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups of a stream sorted by `keys`; holds one group at a time besides the current batch."""
-    import pyarrow.compute as pc
-
     held: list[pa.RecordBatch] = []
     held_key: tuple | None = None
     for batch in batches:
@@ -123,3 +145,22 @@ def aligned(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_
         held, n = [whole.slice(lo)], n - lo
     if n:
         yield pa.concat_tables(held).combine_chunks()
+
+
+def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.Table]:
+    """The rows in tables of about `size` bytes of one text column; a longer text is a table's last."""
+    held: list[pa.Table] = []
+    n = 0
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        lengths = pc.fill_null(pc.binary_length(table.column(column)), 0).to_pylist()
+        first = 0
+        for i, length in enumerate(lengths):
+            n += length
+            if n >= size:
+                yield pa.concat_tables([*held, table.slice(first, i + 1 - first)])
+                held, n, first = [], 0, i + 1
+        if first < len(lengths):
+            held.append(table.slice(first))
+    if held:
+        yield pa.concat_tables(held)

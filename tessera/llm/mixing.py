@@ -30,7 +30,7 @@ WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 #: Documents in a block, about.
 BLOCK = 2_000
-#: Up to so many sources the plan, one short row per source, is broadcast.
+#: Up to so many short rows a table of sources or of blocks is broadcast.
 BROADCAST_SOURCES = 10_000
 SEED = "mix-1"
 
@@ -57,10 +57,17 @@ def key() -> Column:
     return F.xxhash64(F.lit(SEED), F.col("doc_id")).bitwiseAND(F.lit(2**63 - 1))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words that the mix takes of each document."""
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row per source
+def first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text up to the end of its n-th word."""
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each but the first begins with blanks
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK, rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: words that the mix takes of each document; rows: also `row`, all its columns."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    narrow = cut(sized.drop("row"))
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row per source
     goal = targets([(r["source"], r["size"]) for r in sums], weights, epochs)
     plan = []
     for r in sums:
@@ -70,13 +77,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     plan_df = docs.sparkSession.createDataFrame(plan, "p_source string, source_size long, target double, whole long, rest long, blocks long")
     plan_df = F.broadcast(plan_df) if len(plan) <= BROADCAST_SOURCES else plan_df
     same = F.col("source").eqNullSafe(F.col("p_source"))
-    keyed = rows.join(plan_df, same).withColumn("key", key())
-    keyed = keyed.withColumn("block", F.floor(F.col("key") / F.lit(2.0**63) * F.col("blocks")))
+
+    def keyed(frame: DataFrame) -> DataFrame:
+        with_key = frame.join(plan_df, same).withColumn("key", key())
+        return with_key.withColumn("block", F.floor(F.col("key") / F.lit(2.0**63) * F.col("blocks")))
+
     in_order = Window.partitionBy("p_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    edge = keyed.groupBy("p_source", "block", "rest").agg(F.sum("size").alias("b_size"))
+    edge = keyed(narrow).groupBy("p_source", "block").agg(F.sum("size").alias("b_size"))
     edge = cut(edge.select("p_source", F.col("block").alias("b_block"), "b_size", F.coalesce(F.sum("b_size").over(in_order), F.lit(0)).alias("begins")))
-    placed = keyed.drop("p_source").join(edge, same & (F.col("block") == F.col("b_block")))
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    edge = F.broadcast(edge) if sum(p[-1] for p in plan) <= BROADCAST_SOURCES else edge  # a row per block
+    placed = keyed(sized if rows else narrow).drop("p_source").join(edge, same & (F.col("block") == F.col("b_block")))
+    out = ["doc_id", "source", "size", "source_size", "target", *(["row"] if rows else [])]
     left = F.col("rest") - F.col("begins")
     at_cut = (left > 0) & (left < F.col("b_size"))
     plain = placed.filter(~at_cut).select(*out, (F.col("whole") * F.col("size") + F.when(left > 0, F.col("size")).otherwise(F.lit(0))).alias("taken"))
@@ -85,3 +96,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     partly = F.greatest(F.lit(0), F.least(F.col("size"), left - before))
     cut_block = placed.filter(at_cut).select(*out, (F.col("whole") * F.col("size") + partly).cast("long").alias("taken"))
     return plain.unionByName(cut_block)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+    """docs as the mix takes them: a row for each time a document is taken, the last one cut after the words that are taken; n_chars, if there, follows."""
+    taken = mix(docs, weights, epochs, rows=True).filter("taken > 0")
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("long") - 1), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))
+    each = taken.select("row", "size", F.explode(parts).alias("part"))
+    text = F.when(F.col("part") < F.col("size"), first_words(F.col("row.text"), F.col("part"))).otherwise(F.col("row.text"))
+    each = each.select("row", "size", "part", text.alias("cut_text"))
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("cut_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("part") < F.col("size"), F.length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return each.select(*[own[c].alias(c) for c in docs.columns])

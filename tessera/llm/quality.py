@@ -20,23 +20,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, utf8
+from .common import cut, map_rows, ship, utf8
 
 SYMBOLS = "#*$%&|<>"
 FENCE = 6.0
 MIN_GROUP = 200
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Up to so many (language, source) groups the fences are broadcast, some 500 bytes each.
+BROADCAST_GROUPS = 10_000
 #: Ratio of a bucket's bounds; a quantile is off by half a percent at most.
 RATIO = 1.01
 SMALLEST = 1e-4
 #: Least distance of a fence from the median, in the measure's own unit.
 SLACK = {"symbols_per_word": 0.25, "chars_per_word": 1.5, "dup_line_share": 0.35, "repeat_share": 0.3, "upper_share": 0.35, "marks_per_word": 0.5}
 
-FEATURES = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -85,14 +88,27 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """One row of counts per document."""
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+    """doc_id, lang, source and the counts of every document."""
+    names = [x.split()[0] for x in COUNTS.split(", ")]
 
     def each(rows: dict[str, list]) -> dict[str, list]:
-        counts = list(zip(*map(measure, rows["text"]))) or [[]] * 8
-        return {"doc_id": rows["doc_id"], "lang": rows["lang"], "source": rows["source"], **dict(zip(names[3:], map(list, counts)))}
+        counts = list(zip(*map(measure, rows["text"]))) or [[]] * len(names)
+        return {"doc_id": rows["doc_id"], "lang": rows["lang"], "source": rows["source"], **dict(zip(names, map(list, counts)))}
 
-    return map_rows(docs.select("doc_id", "lang", "source", "text"), each, FEATURES)
+    return map_rows(docs.select("doc_id", "lang", "source", "text"), each, f"doc_id long, lang string, source string, {COUNTS}")
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), lang, source and the counts."""
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+
+    @F.arrow_udf(returnType=f"struct<{COUNTS.replace(' ', ':').replace(',:', ',')}>")
+    def counts(text: pa.Array) -> pa.Array:
+        found = list(zip(*map(measure, text.to_pylist()))) or [[]] * len(names)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
+
+    ship(docs.sparkSession)
+    return docs.select(F.struct("*").alias("row"), "lang", "source", counts("text").alias("counts")).select("row", "lang", "source", "counts.*")
 
 
 def measures() -> dict[str, Column]:
@@ -157,12 +173,25 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts, base_failed, outlier (measures beyond their fence), kept."""
-    features = cut(document_features(docs))
-    limits = thresholds(features).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "fence")
-    with_limits = features.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+def verdicts(features: DataFrame, limits: DataFrame) -> DataFrame:
+    """features with base_failed, outlier (measures beyond their fence) and kept."""
+    few = limits.count() <= BROADCAST_GROUPS  # a short row per language and source
+    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), "fence")
+    same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
+    with_limits = features.join(F.broadcast(limits) if few else limits, same, "left")
     beyond = [F.when(v > F.col("fence")[k]["high"], F.lit(k)) for k, v in measures().items()]
     beyond.append(F.when(measures()["chars_per_word"] < F.col("fence")["chars_per_word"]["low"], F.lit("short_words")))
     out = with_limits.select(*features.columns, base_failed().alias("base_failed"), F.array_compact(F.array(*beyond)).alias("outlier"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("outlier") == 0))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, the counts, base_failed, outlier, kept of every row."""
+    features = cut(document_features(docs))
+    return verdicts(features, thresholds(features))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, as they are."""
+    limits = thresholds(document_features(docs))
+    return verdicts(with_counts(docs), limits).filter("kept").select("row.*")

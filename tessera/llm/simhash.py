@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = GROUP)
     return joined.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id of one document of each class, the smallest id."""
-    return near_duplicates(docs, shingle).filter("doc_id = component_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """docs without the near-duplicates: of each class one row of its smallest id stays. Rows without an id stay, since none can name them."""
+    first = near_duplicates(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

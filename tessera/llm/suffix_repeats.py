@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import stream_groups, typed, utf8
+from .common import by_size, stream_groups, typed, utf8
 from .store import Ranges, blobs, get, new_store, put, runs, squeeze, squeeze_sorted, summed, unsqueeze, unsqueeze_sorted
 
 LENGTH, GRAM = 50, 25
@@ -81,8 +82,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Slice:
     """Some whole documents as one array of bytes, with their pieces."""
 
-    def __init__(self, ids: list, texts: list[bytes]) -> None:
-        self.ids, self.raw = ids, b"".join(texts)
+    def __init__(self, rows: pa.Table) -> None:
+        ids, texts = rows.column(0).to_pylist(), [utf8(x) for x in rows.column(1).to_pylist()]
+        self.rows, self.ids, self.raw = rows, ids, b"".join(texts)
         self.key = np.array([LAST if x is None else x for x in ids], np.int64)
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.cumsum(self.size) - self.size
@@ -114,20 +116,7 @@ class Slice:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
-    ids, texts, n = [], [], 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                raw = utf8(text)
-                ids.append(doc_id)
-                texts.append(raw)
-                n += len(raw)
-                if n >= SLICE:
-                    yield Slice(ids, texts)
-                    ids, texts, n = [], [], 0
-    if ids:
-        yield Slice(ids, texts)
+    return map(Slice, by_size(batches, 1, SLICE))
 
 
 def repeated_anchors(docs: DataFrame, store: str, bits: int) -> Ranges:
@@ -332,12 +321,13 @@ def removed(part: Slice, known: Ranges, firsts: Ranges) -> np.ndarray:
 
 
 def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict], schema: str) -> DataFrame:
-    docs = docs.select("doc_id", "text")
+    """each() of every slice of docs, whose first columns are doc_id and text."""
     spark = docs.sparkSession
     store = new_store(spark, "repeats")
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    known = repeated_anchors(docs, store, bits)
-    firsts = first_documents(docs, store, known)
+    texts = docs.select("doc_id", "text")
+    known = repeated_anchors(texts, store, bits)
+    firsts = first_documents(texts, store, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -353,22 +343,48 @@ def occurrences(docs: DataFrame) -> DataFrame:
         doc, begin, end, first = found_in(part, known, firsts)
         return {"doc_id": [part.ids[i] for i in doc], "begin": begin - part.start[doc], "end": end - part.start[doc], "first_doc_id": first}
 
-    return with_repeats(docs, each, "doc_id long, begin long, end long, first_doc_id long")
+    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, begin long, end long, first_doc_id long")
+
+
+def kept_parts(part: Slice, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Of each document of a slice: bytes removed, their runs, and the bytes left."""
+    data = np.frombuffer(part.raw, np.uint8)
+    for a, n in zip(part.start.tolist(), part.size.tolist()):
+        own = gone[a : a + n]
+        count = int(np.count_nonzero(own))
+        spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if count else 0
+        yield count, spans, data[a : a + n][~own].tobytes() if count else part.raw[a : a + n]
 
 
 def kept_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of every row."""
 
     def each(part: Slice, known: Ranges, firsts: Ranges) -> dict:
-        gone = removed(part, known, firsts)
-        data = np.frombuffer(part.raw, np.uint8)
-        out: dict[str, list] = {"doc_id": part.ids, "n_bytes": part.size, "n_removed": [], "n_spans": [], "kept": []}
-        for a, n in zip(part.start.tolist(), part.size.tolist()):
-            own = gone[a : a + n]
-            count = int(np.count_nonzero(own))
-            out["n_removed"].append(count)
-            out["n_spans"].append(int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if count else 0)
-            out["kept"].append(data[a : a + n][~own].tobytes() if count else part.raw[a : a + n])
-        return out
-
-    return with_repeats(docs, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        count, spans, kept = zip(*kept_parts(part, removed(part, known, firsts)))
+        return {"doc_id": part.ids, "n_bytes": part.size, "n_removed": count, "n_spans": spans, "kept": pa.array(kept, pa.binary())}
+
+    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the text that is left; characters cut in two are dropped, a text without repeats stays as it is, null too.
+
+    Other columns pass through, except n_chars, if there, which follows the text. Documents of which only blanks are
+    left, though they had a word, go.
+    """
+    ordered = docs.select("doc_id", "text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+
+    def each(part: Slice, known: Ranges, firsts: Ranges) -> dict:
+        texts = part.rows.column(1).to_pylist()
+        count, _, kept = zip(*kept_parts(part, removed(part, known, firsts)))
+        new = [k.decode("utf-8", "ignore") if n else x for x, n, k in zip(texts, count, kept)]
+        stay = [not n or bool(k.strip()) for n, k in zip(count, kept)]
+        rows = part.rows.set_column(1, "text", pa.array(new, pa.string()))
+        if "n_chars" in rows.column_names:
+            at = rows.column_names.index("n_chars")
+            lengths = [len(x) if n else old for x, n, old in zip(new, count, rows.column(at).to_pylist())]
+            rows = rows.set_column(at, "n_chars", pa.array(lengths, rows.schema.field(at).type))
+        return rows.filter(pa.array(stay)).combine_chunks().to_pydict()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    return with_repeats(ordered, each, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
