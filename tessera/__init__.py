@@ -1 +1,3 @@
 """Document collections, queries and change tracking on Spark DataFrames."""
+
+__version__ = "0.1.0"
