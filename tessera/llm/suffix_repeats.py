@@ -246,6 +246,16 @@ def maximal_groups(data: np.ndarray, size: np.ndarray, group: np.ndarray, least:
             yield length, row[a:b], offset[a:b]
 
 
+def blocks_of_groups(key: np.ndarray, most: int = 8_000) -> Iterator[slice]:
+    """Slices of an ascending key of about `most` rows that cut no group in two."""
+    edge = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)] if len(key) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(key):
+        end = int(edge[max(np.searchsorted(edge, at + most, "right") - 1, np.searchsorted(edge, at, "right"))])
+        yield slice(at, end)
+        at = end
+
+
 def first_documents(docs: DataFrame, store: str, known: Ranges) -> Ranges:
     """Ranges "piece": sorted hashes of pieces, with "low", "high" (strings of the piece, by where they begin) and "doc", which has them."""
 
@@ -267,19 +277,20 @@ def first_documents(docs: DataFrame, store: str, known: Ranges) -> Ranges:
             by = np.argsort(anchor, kind="stable")
             several_pieces = np.flatnonzero(anchor[by[1:]] == anchor[by[:-1]])
             by = by[np.union1d(several_pieces, several_pieces + 1)]
-            if len(by):
-                data = np.zeros((len(by), MOST), np.uint8)
-                data[np.arange(MOST) < sizes[by, None]] = np.frombuffer(b"".join([raw[b - n : b] for b, n in zip(end[by].tolist(), sizes[by].tolist())]), np.uint8)
-                group = np.cumsum(np.r_[False, anchor[by[1:]] != anchor[by[:-1]]])
-                later: list[tuple] = []
-                for length, at, offset in maximal_groups(data, sizes[by], group):
-                    own = ids[by[at]]
+            later: list[tuple] = []
+            for part in blocks_of_groups(anchor[by]):
+                rows = by[part]
+                data = np.zeros((len(rows), MOST), np.uint8)
+                data[np.arange(MOST) < sizes[rows, None]] = np.frombuffer(b"".join([raw[b - n : b] for b, n in zip(end[rows].tolist(), sizes[rows].tolist())]), np.uint8)
+                group = np.cumsum(np.r_[False, anchor[rows[1:]] != anchor[rows[:-1]]])
+                for length, at, offset in maximal_groups(data, sizes[rows], group):
+                    own = ids[rows[at]]
                     late = own > (least := own.min())
                     if late.any():
-                        later.append((at[late], offset[late], offset[late] + length - LENGTH, np.full(late.sum(), least)))
-                if later:
-                    at, low, high, least = map(np.concatenate, zip(*later))
-                    found.append((content[by[at]], low, high, least))
+                        later.append((rows[at[late]], offset[late], offset[late] + length - LENGTH, np.full(late.sum(), least)))
+            if later:
+                at, low, high, least = map(np.concatenate, zip(*later))
+                found.append((content[at], low, high, least))
             content, low, high, first = map(np.concatenate, zip(*found))
             order = np.argsort(content, kind="stable")
             for name, values in (("piece", content), ("low", low.astype(np.uint8)), ("high", high.astype(np.uint8)), ("doc", first)):
