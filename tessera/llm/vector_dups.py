@@ -22,8 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, stream_groups, typed
 from .components import components
@@ -66,50 +68,62 @@ def signatures(vectors: np.ndarray, k: int, tables: int, width: float) -> np.nda
         return (steps * mixer).sum(axis=2)
 
 
-def usable(embedding) -> DataFrame:
+def usable(embedding: Column) -> Column:
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
 def hashed(reps: DataFrame, k: int, tables: int, width: float) -> DataFrame:
-    """node, vector, table, bucket, signs: a row per table; signs are the buckets in all tables."""
-    schema = "node long, size long, vector array<double>, table int, bucket long, signs array<long>"
+    """node, size, vector, table, bucket, signs: a row per table; signs are 32 bits of the buckets in all tables.
+
+    Vectors and signs travel as bytes; vectors of single-precision input in single precision, which loses nothing.
+    """
+    schema = "node long, size long, vector binary, table int, bucket long, signs binary"
+    kind = "<f4" if isinstance(reps.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                vectors = batch.column("vector").to_pylist()
-                for d in sorted({len(v) for v in vectors}):
-                    rows = [i for i, v in enumerate(vectors) if len(v) == d]
-                    signs = signatures(unit(np.array([vectors[i] for i in rows], float)), k, tables, width)
-                    of = np.repeat(np.arange(len(rows)), tables)
-                    part = batch.take(pa.array(rows)).take(pa.array(of))
-                    yield pa.RecordBatch.from_pydict({"node": part.column("node"), "size": part.column("size"), "vector": part.column("vector"), "table": np.tile(np.arange(tables, dtype=np.int32), len(rows)), "bucket": signs.ravel(), "signs": pa.array(list(signs[of]), pa.list_(pa.int64()))})
+                lengths = batch.column("vector").value_lengths().to_numpy()
+                flat = np.asarray(batch.column("vector").flatten())
+                for d in np.unique(lengths).tolist():
+                    rows = np.flatnonzero(lengths == d)
+                    vectors = flat[np.repeat(lengths == d, lengths)].reshape(-1, d)
+                    signs = signatures(unit(vectors.astype(float)), k, tables, width)
+                    part = batch.take(pa.array(np.repeat(rows, tables)))
+                    raw = np.repeat(np.arange(len(rows)), tables)
+                    as_bytes = lambda x: pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(raw))
+                    yield pa.RecordBatch.from_pydict({"node": part.column("node"), "size": part.column("size"), "vector": as_bytes(vectors.astype(kind)), "table": np.tile(np.arange(tables, dtype=np.int32), len(rows)), "bucket": signs.ravel(), "signs": as_bytes(signs.astype("<i4"))})
 
     return typed(reps, run, schema)
 
 
-def compare(table: pa.Table, at: int, cosine: float) -> tuple[list, list]:
-    """Per vector of one block pair: linked vectors met here first, and a linked node of smaller id, if any."""
+def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def compare(table: pa.Table, at: int, same: bool, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector of a block, or of two blocks against each other: linked vectors met here first, and a linked node of smaller id, if any."""
     node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
     first_block = table.column("side").to_numpy() == 0
-    x = unit(np.array(table.column("vector").to_pylist(), float)) if len(node) else np.zeros((0, 1))
-    signs = np.array(table.column("signs").to_pylist(), np.int64)
-    same = not (~first_block).any()
+    x = unit(matrix(table.column("vector"), kind).astype(float))
     rows, cols = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(first_block), np.flatnonzero(~first_block))
-    links, least = np.zeros(len(node), np.int64), node.copy()
+    links, least, signs = np.zeros(len(node), np.int64), node.copy(), None
     for lo in range(0, len(rows), 512):
         part = rows[lo : lo + 512]
         i, j = np.nonzero(x[part] @ x[cols].T >= cosine - 1e-9)
         i, j = part[i], cols[j]
         keep = i < j if same else i != j
         i, j = i[keep], j[keep]
+        if not len(i):
+            continue
         exact = (x[i] * x[j]).sum(axis=1) >= cosine
         i, j = i[exact], j[exact]
         np.minimum.at(least, i, node[j])
         np.minimum.at(least, j, node[i])
         if at:
+            signs = matrix(table.column("signs"), "<i4") if signs is None else signs
             fresh = ~(signs[i, :at] == signs[j, :at]).any(axis=1)
             i, j = i[fresh], j[fresh]
         np.add.at(links, i, size[j])
@@ -117,7 +131,7 @@ def compare(table: pa.Table, at: int, cosine: float) -> tuple[list, list]:
     return links, least
 
 
-def linked(tables: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+def linked(tables: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> DataFrame:
     """node, links, least: partial counts of linked vectors, and a linked node that is smaller (or itself)."""
     sizes = tables.groupBy(F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
     rows = tables.join(sizes, (F.col("table") == F.col("b_table")) & (F.col("bucket") == F.col("b_bucket"))).drop("b_table", "b_bucket")
@@ -128,10 +142,10 @@ def linked(tables: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in stream_groups(batches, keys):
-            dims = sorted({len(v) for v in group.column("vector").to_pylist()})
-            for d in dims:
-                part = group if len(dims) == 1 else group.take([i for i, v in enumerate(group.column("vector").to_pylist()) if len(v) == d])
-                links, least = compare(part, key[0], cosine)
+            lengths = pc.binary_length(group.column("vector"))
+            for d in pc.unique(lengths).to_pylist():
+                part = group.filter(pc.equal(lengths, d))
+                links, least = compare(part, key[0], key[2] == key[3], cosine, kind)
                 node = part.column("node").to_numpy()
                 some = (links > 0) | (least < node)
                 if some.any():
@@ -140,13 +154,16 @@ def linked(tables: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
     return typed(rows.repartition(*keys).sortWithinPartitions(*keys), run, "node long, links long, least long")
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of embeddings(vec_id, embedding)."""
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + F.lit(0.0))))
+    single = isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType)
+    element = "float" if single else "double"
+    rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{element}>").alias("vector"))
+    zero = F.lit(0.0).cast(element)  # added to turn -0 into 0
+    rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + zero)))
     reps = cut(rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")))
     k, tables, width = plan(reps.count(), cosine, recall)
-    found = cut(linked(cut(hashed(reps.select("node", "size", "vector"), k, tables, width)), cosine))
+    found = cut(linked(cut(hashed(reps.select("node", "size", "vector"), k, tables, width)), cosine, "<f4" if single else "<f8", block))
     counts = found.groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("least < node").select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "k_node")
     per_rep = reps.join(counts, F.col("node") == F.col("c_node"), "left").join(classes, F.col("node") == F.col("k_node"), "left")
