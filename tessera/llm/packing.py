@@ -13,9 +13,12 @@ documents; an empty table gives no rows; whole texts of any length are used; oth
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +31,10 @@ WINDOW = 2048
 END = 1
 #: Windows kept open at most, 8 KB each.
 MAX_OPEN = 1024
-MEMO = 600_000
+MEMO = 1_000_000
+#: Marks that the pattern always parts from letters before them, and that join no character.
+STOPS = ".,;:!?"
+LETTERED = re.compile(rf"^(([^\W\d_]+)([{STOPS}]*))$", re.M)
 #: Documents whose words are looked up together.
 SLICE = 500
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,6 +42,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 ENCODERS: dict[str, WordEncoder] = {}
 
 
+def plain_letters(word: str) -> bool:
+    """Whether a word is of letters that neither composing nor lowering turns into anything but letters."""
+    return word.isalpha() and is_normalized("NFC", word) and word.lower().isalpha()
+
+
 class WordEncoder:
     """Identifiers of texts under a vocabulary that never joins characters across white space, so words can be remembered."""
 
@@ -44,22 +55,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_str(spec), {"": b""}
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # identifiers that end a word; without such a suffix none
+        self.ends[[i for name, i in names.items() if suffix and name.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit identifiers of each text."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*split).difference(self.memo)
+        used = set().union(*split)
+        new = used.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo = {"": b""}
-            new = set().union(*split) - {""}
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[word] = np.array(found.ids, "<u4").tobytes()
+            new = used - {""}
+        self.learn(new)
         known = self.memo.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    def learn(self, new: set[str]) -> None:
+        """Adds words to the memo. Letters with stops behind them are encoded apart, as the vocabulary's pattern splits them."""
+        memo = self.memo
+        lettered = LETTERED.findall("\n".join(new))
+        made = [(word, stem.lower(), tail) for word, stem, tail in lettered if stem.isascii()]
+        if len(made) < len(lettered):
+            made += [x for x in lettered if not x[1].isascii() and plain_letters(x[1])]
+        letters = list({stem for _, stem, _ in made}.difference(memo))
+        other = list(new.difference(word for word, _, _ in made).union(tail for _, _, tail in made).difference(memo))
+        for at in range(0, len(letters), 4000):
+            part = letters[at : at + 4000]
+            [found] = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            end = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(end) == len(part):
+                raw = ids.tobytes()
+                memo.update((w, raw[a:b]) for w, a, b in zip(part, [0, *end], end))
+            else:  # the library's letters differ from Python's in one of these
+                other += part
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                memo[word] = np.array(found.ids, "<u4").tobytes()
+        memo.update((word, memo[stem] + memo[tail]) for word, stem, tail in made)
+
 
 def encoder(spec: str) -> WordEncoder:
     name = hashlib.sha256(spec.encode()).hexdigest()
