@@ -39,6 +39,8 @@ END, START = b" end", b" start"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 UNKNOWN = np.uint32(0xFFFFFFFF)
+#: Words are fewer than pairs by far; with so many bits less their ranges are, too, and tasks send fewer pieces.
+WORD_BITS_LESS = 3
 #: Tokens that are looked up together, and pairs that a worker adds up before it sends them.
 SLICE, HELD = 600_000, 3_000_000
 
@@ -148,9 +150,9 @@ def unblob(rows: pa.Table, columns: int) -> tuple[np.ndarray, ...]:
     return summed(keys, *(np.concatenate([unsqueeze(x) for x in rows.column(f"c{i}").to_pylist()]).astype(np.int64) for i in range(columns)))
 
 
-def pair_counts(docs: DataFrame, store: str, words: Ranges) -> DataFrame:
+def pair_counts(docs: DataFrame, words: Ranges, bits: int) -> DataFrame:
     """Compressed pieces (shard, keys, c0) of training pairs and counts, by range of the pair's hash."""
-    shift, first = np.uint64(64 - words.bits), int(words.offset[-1])
+    shift, first = np.uint64(64 - bits), int(words.offset[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -176,7 +178,7 @@ def pair_counts(docs: DataFrame, store: str, words: Ranges) -> DataFrame:
     return typed(docs, run, "shard int, keys binary, c0 binary")
 
 
-def count_pairs(docs: DataFrame, store: str, words: Ranges) -> DataFrame:
+def count_pairs(docs: DataFrame, store: str, words: Ranges, bits: int) -> DataFrame:
     """Writes the pairs as Ranges "pair" with "times"; rows of sums by word, and of counts of counts."""
     schema = "shard int, keys binary, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, pair_shard int, n_pairs long, ones long, twos long, threes long, fours long"
 
@@ -198,7 +200,7 @@ def count_pairs(docs: DataFrame, store: str, words: Ranges) -> DataFrame:
             rest = {k: pa.array([v] + [None] * (batch.num_rows - 1), pa.int64()) for k, v in extra.items()}
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | rest)
 
-    pieces = pair_counts(docs, store, words)
+    pieces = pair_counts(docs, words, bits)
     return typed(pieces.repartition("shard").sortWithinPartitions("shard"), run, schema)
 
 
@@ -279,8 +281,8 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     store = new_store(spark, "ngrams")
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    words, n_tokens = vocabulary(docs, store, bits)
-    by_word = count_pairs(docs, store, words).persist()
+    words, n_tokens = vocabulary(docs, store, max(4, bits - WORD_BITS_LESS))
+    by_word = count_pairs(docs, store, words, bits).persist()
     try:
         found = by_word.filter("pair_shard is not null").select("pair_shard", "n_pairs", "ones", "twos", "threes", "fours").collect()  # a row per range
         sums = word_sums(by_word, store, words)
