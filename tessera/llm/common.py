@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Separators of words: space and \t \n \v \f \r; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +49,25 @@ def ship(spark: SparkSession) -> None:
     SHIPPED.add(sc.applicationId)
 
 
+#: Bytes of an Arrow batch; several workers and tasks hold one or two each, inside and outside the JVM.
+BATCH = 8 * 2**20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: ten thousand long texts would be far more than a worker needs at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH:
+        spark.conf.set(name, BATCH)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of plain values as a frame that needs no Python on the executors."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kind = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in schema.split(", "))
+    given = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.inline(given.cast(f"array<struct<{kind}>>")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -69,6 +91,13 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system; workers wait for further tasks, and their free memory adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with bounded slices: each() gets the columns of up to `rows` rows as lists, and returns columns."""
 
@@ -82,18 +111,19 @@ def map_rows(df: DataFrame, each: Callable[[dict[str, list]], dict[str, list]],
     return typed(df, run, schema)
 
 
-def typed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def typed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose batches are cast to the declared schema, in its column order."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
     ship(df.sparkSession)
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    small_batches(df.sparkSession)
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
             columns = [batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=target)
+        give_back()
 
     return df.mapInArrow(cast, schema)
 

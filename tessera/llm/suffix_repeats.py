@@ -32,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import by_size, stream_groups, typed, utf8
 from .store import Ranges, blobs, get, new_store, put, runs, squeeze, squeeze_sorted, summed, unsqueeze, unsqueeze_sorted
@@ -40,7 +41,7 @@ LENGTH, GRAM = 50, 25
 GRAMS = LENGTH - GRAM + 1
 #: Longest piece: GRAMS strings that follow one another.
 MOST = LENGTH + GRAMS - 1
-SLICE, BLOCK, HELD = 4_000_000, 4_000_000, 3_000_000
+SLICE, BLOCK, HELD = 4_000_000, 1_000_000, 1_500_000
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15
 STIR = np.uint64(0xD6E8FEB86659FD93)
@@ -331,7 +332,7 @@ def removed(part: Slice, known: Ranges, firsts: Ranges) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict], schema: str) -> DataFrame:
+def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict], schema: str | StructType) -> DataFrame:
     """each() of every slice of docs, whose first columns are doc_id and text."""
     spark = docs.sparkSession
     store = new_store(spark, "repeats")
@@ -397,5 +398,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             rows = rows.set_column(at, "n_chars", pa.array(lengths, rows.schema.field(at).type))
         return rows.filter(pa.array(stay)).combine_chunks().to_pydict()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
-    return with_repeats(ordered, each, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_repeats(ordered, each, ordered.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
