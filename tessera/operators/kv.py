@@ -21,14 +21,20 @@ def key_range(frame: DataFrame, start: bytes | None = None, end: bytes | None =
     return frame.orderBy("key")
 
 
+def changes(spark: SparkSession, pending: dict[bytes, bytes | None]) -> tuple[DataFrame | None, DataFrame | None]:
+    """A transaction's own writes as entries and as deleted keys."""
+    written = [(k, v) for k, v in pending.items() if v is not None]
+    gone = [(k,) for k, v in pending.items() if v is None]
+    return spark.createDataFrame(written, SCHEMA) if written else None, spark.createDataFrame(gone, "key binary") if gone else None
+
+
 def merged(frame: DataFrame, pending: dict[bytes, bytes | None]) -> DataFrame:
     """A snapshot with a transaction's own writes; None deletes."""
-    if not pending:
-        return frame
-    spark: SparkSession = frame.sparkSession
-    touched = spark.createDataFrame([(k,) for k in pending], "key binary")
-    written = spark.createDataFrame([(k, v) for k, v in pending.items() if v is not None], SCHEMA)
-    return frame.join(touched, "key", "left_anti").select("key", "value").unionByName(written)
+    for part in changes(frame.sparkSession, pending):
+        if part is not None:
+            kept = frame.join(part.select("key"), "key", "left_anti").select("key", "value")
+            frame = kept.unionByName(part) if "value" in part.columns else kept
+    return frame
 
 
 class KvCursor:

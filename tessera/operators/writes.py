@@ -146,12 +146,11 @@ def cell_of_variant(document: Column, name: str) -> Column:
     return F.struct(kind.cast("tinyint").alias("t"), value(2, "boolean").alias("b"), value(3, "bigint").alias("n"), value(4, "double").alias("d"), value(5, "string").alias("s"))
 
 
-def folded(frame: DataFrame, log: DataFrame, namespace: str, columns: list[str]) -> DataFrame:
-    """A collection of tagged cells after the log's entries: of each key its last image counts."""
+def last_states(log: DataFrame, namespace: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of each key in the log its last image: documents that are there now, and keys that are gone."""
     own = log.filter((F.col("ns") == namespace) & F.col("op").isin("i", "u", "d"))
     parsed = F.parse_json("o")
     cells = own.select("op", F.col(ID).alias("index"), F.struct(*[cell_of_variant(parsed, c).alias(c) for c in [ID, *columns]]).alias("row"))
     last = cells.groupBy(F.col("row")[ID].alias("key")).agg(F.max_by(F.struct("op", "row"), "index").alias("image"))
     images = last.filter("image.op <> 'd'").select(*[F.col("image.row")[c].alias(c) for c in [ID, *columns]])
-    kept = as_tagged(frame).join(last.select(F.col("key").alias(ID)), ID, "left_anti").select(*[quoted(c) for c in [ID, *columns]])
-    return kept.unionByName(images)
+    return images, last.filter("image.op = 'd'").select(F.col("key").alias(ID))

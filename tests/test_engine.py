@@ -131,12 +131,28 @@ def test_transactions_versions_and_audit(commands, engine, spark):
     assert [(e["_id"], e["op"], e["ns"]) for e in log] == [(1, "c", "test.users"), (2, "i", "test.users"), (3, "u", "test.users")]
     assert log[2]["o"] == '{"_id":1,"name":"a","age":5}' and log[2]["o2"] == '{"_id":1}'
     assert engine.store.audit()["missing"] == []
-    assert engine.checkpoint(keep=1) and engine.store.audit() == {"missing": [], "orphans": []}
+    assert [k for k, _ in engine.store.manifest().collections["test.users"]["segments"]] == ["rows", "images"]
+    assert engine.checkpoint(keep=1) and [k for k, _ in engine.store.manifest().collections["test.users"]["segments"]] == ["rows"]
+    assert docs(s.frame(NS)) == [{"_id": 1, "name": "a", "age": 5}] and engine.store.audit() == {"missing": [], "orphans": []}
     assert Engine(spark, engine.store.path).session().count(NS) == 1  # reopened
     with pytest.raises(StorageError):
         engine.session(before).count(NS)
 
 
+def test_many_segments(commands, engine, monkeypatch):
+    monkeypatch.setattr("tessera.engine.MAX_SEGMENTS", 3)
+    s, model = engine.session(), {}
+    for i in range(4):
+        s.insert_many(NS, [{"_id": 10 * i + k, "age": k} for k in range(3)])
+        model |= {10 * i + k: k for k in range(3)}
+        s.update(NS, {"age": 1}, {"$set": {"age": 7 + i}}, many=True)
+        model = {k: 7 + i if v == 1 else v for k, v in model.items()}
+        s.delete(NS, {"age": 7 + i}, many=False)
+        del model[min(k for k, v in model.items() if v == 7 + i)]
+        assert {d["_id"]: d["age"] for d in docs(s.frame(NS))} == model
+        assert len(engine.store.manifest().collections["test.users"]["segments"]) <= 4
+
+
 def test_raw_objects(engine):
     s = engine.session()
     s.create_file("file:kv")
