@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, kneser_ney, mixing, packing, quality, simhash, suffix_repeats, token_counts, url_rules, vector_dups
+from . import html_text, kneser_ney, mixing, oracles, packing, quality, simhash, suffix_repeats, token_counts, url_rules, vector_dups
 from .common import read_table
 
 
@@ -58,4 +58,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash_near_dedup, op3_lm_scoring, op4_source_mixing, op5_embedding_near_dedup, op6_suffix_array_dedup, op7_packing, op8_html_extraction, op9_quality_rules, op10_token_counts)}
-ORACLES = {"op1_url_filters": url_rules.oracle(url_rules.RULES)}
+ORACLES = {
+    "op1_url_filters": url_rules.oracle(url_rules.RULES),
+    "op5_embedding_near_dedup": oracles.embeddings(),
+    "op6_suffix_array_dedup": oracles.repeats(),
+    "op9_quality_rules": oracles.quality_rules(),
+}
