@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, local_rows, word_count
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -74,8 +74,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
         words = int(goal[r["source"]] + Fraction(1, 2))
         whole, rest = divmod(words, r["size"]) if r["size"] else (0, 0)
         plan.append((r["source"], r["size"], float(goal[r["source"]]), whole, rest, max(1, -(-r["n"] // block))))
-    plan_df = docs.sparkSession.createDataFrame(plan, "p_source string, source_size long, target double, whole long, rest long, blocks long")
-    plan_df = F.broadcast(plan_df) if len(plan) <= BROADCAST_SOURCES else plan_df
+    schema = "p_source string, source_size long, target double, whole long, rest long, blocks long"
+    few = len(plan) <= BROADCAST_SOURCES
+    plan_df = F.broadcast(local_rows(docs.sparkSession, plan, schema)) if few else docs.sparkSession.createDataFrame(plan, schema)
     same = F.col("source").eqNullSafe(F.col("p_source"))
 
     def keyed(frame: DataFrame) -> DataFrame:

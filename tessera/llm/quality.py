@@ -18,13 +18,15 @@ columns other than doc_id, text, lang and source are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut, map_rows, ship, utf8
+from .common import cut, map_rows, typed, utf8
 
 SYMBOLS = "#*$%&|<>"
 FENCE = 6.0
@@ -101,14 +103,16 @@ def document_features(docs: DataFrame) -> DataFrame:
 def with_counts(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), lang, source and the counts."""
     names = [x.split()[0] for x in COUNTS.split(", ")]
+    nested = docs.select(F.struct("*").alias("row"), "lang", "source")
+    at = docs.columns.index("text")
 
-    @F.arrow_udf(returnType=f"struct<{COUNTS.replace(' ', ':').replace(',:', ',')}>")
-    def counts(text: pa.Array) -> pa.Array:
-        found = list(zip(*map(measure, text.to_pylist()))) or [[]] * len(names)
-        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("row").field(at).to_pylist()
+            found = list(zip(*map(measure, texts))) or [[]] * len(names)
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("row", "lang", "source")} | {k: pa.array(x, pa.int64()) for k, x in zip(names, found)})
 
-    ship(docs.sparkSession)
-    return docs.select(F.struct("*").alias("row"), "lang", "source", counts("text").alias("counts")).select("row", "lang", "source", "counts.*")
+    return typed(nested, run, StructType([*nested.schema, *StructType.fromDDL(COUNTS)]))
 
 
 def measures() -> dict[str, Column]:

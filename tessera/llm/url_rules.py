@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import cut, local_rows, lower_ascii
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Keys looked at per range when bounds are chosen; they only balance the ranges.
@@ -29,8 +29,7 @@ BOUND_KEYS = 32
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    given = F.array(*[F.struct(F.lit(h).alias("r_host"), F.lit(p).alias("r_path"), F.lit(v).alias("r_verdict")) for h, p, v in rules])
-    return spark.range(1).select(F.inline(given.cast("array<struct<r_host:string,r_path:string,r_verdict:string>>")))
+    return local_rows(spark, rules, "r_host string, r_path string, r_verdict string")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
