@@ -23,6 +23,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import typed
@@ -31,15 +32,20 @@ WINDOW = 2048
 END = 1
 #: Windows kept open at most, 8 KB each.
 MAX_OPEN = 1024
-MEMO = 1_000_000
+#: Words remembered in a generation, of which there are two; some 150 bytes each.
+MEMO = 800_000
 #: Marks that the pattern always parts from letters before them, and that join no character.
 STOPS = ".,;:!?"
+#: A stop between a letter and a blank; these letters neither compose with nor lower to anything that a stop joins.
+PAUSE = "([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,]) "
+#: Texts in which lowering A-Z beforehand could name a special string, or change what composes.
+AS_IT_IS = "<\\||[\u0300-\u036f]"
 LETTERED = re.compile(rf"^(([^\W\d_]+)([{STOPS}]*))$", re.M)
 #: Documents whose words are looked up together.
-SLICE = 500
+SLICE = 1500
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Encoders of this worker process, by digest of their file; they keep their memo from task to task.
-ENCODERS: dict[str, WordEncoder] = {}
+ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 def plain_letters(word: str) -> bool:
@@ -47,30 +53,58 @@ def plain_letters(word: str) -> bool:
     return word.isalpha() and is_normalized("NFC", word) and word.lower().isalpha()
 
 
+class Memo(dict):
+    """Remembered words; those of the generation before are taken over when they are used again, the rest go with it."""
+
+    def __init__(self, older: dict[str, bytes]) -> None:
+        super().__init__({"": b""})
+        self.older = dict(older)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.older[word]
+        return found
+
+
 class WordEncoder:
     """Identifiers of texts under a vocabulary that never joins characters across white space, so words can be remembered."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, most: int = MEMO) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(spec), {"": b""}
+        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo({})
         suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)  # identifiers that end a word; without such a suffix none
         self.ends[[i for name, i in names.items() if suffix and name.endswith(suffix)]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit identifiers of each text."""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        used = set().union(*split)
-        new = used.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {"": b""}
-            new = used - {""}
-        self.learn(new)
-        known = self.memo.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian 32-bit identifiers of each text; null is the empty text.
+
+        The distinct words of all texts are looked up once, and their identifiers dealt out by word.
+        """
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        column = pc.if_else(pc.match_substring_regex(column, AS_IT_IS), column, pc.ascii_lower(column))
+        column = pc.replace_substring_regex(pc.replace_substring(column, "\n", " "), PAUSE, r"\1 \2 ")
+        split = pc.split_pattern(column, " ")
+        numbered = split.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        if len(self.memo) + len(words) > self.most:
+            self.memo = Memo(self.memo)
+        self.learn(self.unknown(set(words)))
+        found = list(map(self.memo.__getitem__, words))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, count = (np.cumsum(size) - size)[number], size[number]
+        end = np.cumsum(count)
+        dealt = ids[np.repeat(first - (end - count), count) + np.arange(len(count) and end[-1])]
+        bounds = np.r_[0, end][split.offsets.to_numpy()].tolist()
+        return [dealt[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def unknown(self, words: set[str]) -> set[str]:
+        memo, older = self.memo, self.memo.older
+        return {w for w in words if w not in memo and w not in older}
 
     def learn(self, new: set[str]) -> None:
         """Adds words to the memo. Letters with stops behind them are encoded apart, as the vocabulary's pattern splits them."""
@@ -79,8 +113,8 @@ class WordEncoder:
         made = [(word, stem.lower(), tail) for word, stem, tail in lettered if stem.isascii()]
         if len(made) < len(lettered):
             made += [x for x in lettered if not x[1].isascii() and plain_letters(x[1])]
-        letters = list({stem for _, stem, _ in made}.difference(memo))
-        other = list(new.difference(word for word, _, _ in made).union(tail for _, _, tail in made).difference(memo))
+        letters = list(self.unknown({stem for _, stem, _ in made}))
+        other = list(self.unknown(new.difference(word for word, _, _ in made).union(tail for _, _, tail in made)))
         for at in range(0, len(letters), 4000):
             part = letters[at : at + 4000]
             [found] = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
@@ -98,10 +132,10 @@ class WordEncoder:
         memo.update((word, memo[stem] + memo[tail]) for word, stem, tail in made)
 
 
-def encoder(spec: str) -> WordEncoder:
-    name = hashlib.sha256(spec.encode()).hexdigest()
+def encoder(spec: str, most: int) -> WordEncoder:
+    name = hashlib.sha256(spec.encode()).hexdigest(), most
     if name not in ENCODERS:
-        ENCODERS[name] = WordEncoder(spec)
+        ENCODERS[name] = WordEncoder(spec, most)
     return ENCODERS[name]
 
 
@@ -182,8 +216,8 @@ class Packer:
         return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(names)})
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The pieces of all documents with their place; `vocabulary`: path of a tokenizer file.
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, memo: int = MEMO) -> DataFrame:
+    """The pieces of all documents with their place; `vocabulary`: path of a tokenizer file; `memo`: words that a worker remembers in a generation.
 
     The file has a fixed size (about 2 MB); the driver reads and broadcasts it.
     """
@@ -193,12 +227,11 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, packer = encoder(spec.value), Packer(TaskContext.get().partitionId() << 36, window)
+        words, packer = encoder(spec.value, memo), Packer(TaskContext.get().partitionId() << 36, window)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(texts)):
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
                     packer.add(doc_id, ids + last)
                 yield packer.taken()
         packer.close_out()
