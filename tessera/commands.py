@@ -17,7 +17,7 @@ from .functions.keys import ObjectId, from_wire, object_id, to_wire
 from .model import ID, OPLOG, Namespace, database_name, read_row
 from .operators import reads
 from .operators.cursors import CursorManager, FindCursor, MaterializedCursor, batch_size
-from .plans.pipeline import whole_number
+from .plans.pipeline import aggregate, whole_number
 
 OK = {"ok": 1.0}
 #: Milliseconds that a tailing cursor waits when it isn't told.
@@ -239,13 +239,15 @@ class Commands:
 
     def _distinct(self, database: str, command: dict) -> dict:
         key = command.get("key") if isinstance(command.get("key"), str) else ID
-        frame = self.engine.session().distinct(self._name(database, command, "distinct"), key, self._document(command, "query"))
-        return OK | {"values": [to_wire(read_row(r, frame.schema)["value"]) for r in frame.orderBy("value").collect()]}
+        collection = self.engine.session().frame(self._name(database, command, "distinct"))
+        frame = reads.distinct_in_order(collection, key, self._document(command, "query"))
+        return OK | {"values": [to_wire(read_row(r, frame.schema)["value"]) for r in frame.collect()]}
 
     def _aggregate(self, database: str, command: dict) -> dict:
         namespace = self._name(database, command, "aggregate")
         stages = [from_wire(s) for s in command.get("pipeline") or []]
-        return self._first_batch(namespace.full_name, self._documents(self.engine.session().aggregate(namespace, stages)), self._size(command))
+        frame = aggregate(self.engine.session().frame(namespace).orderBy(ID), stages)  # stages keep the order
+        return self._first_batch(namespace.full_name, [to_wire(read_row(r, frame.schema)) for r in frame.collect()], self._size(command))
 
     # replication
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +55,12 @@ def distinct(frame: DataFrame, key: str = ID, filter_doc: Any = None) -> DataFra
     return matching(frame, filter_doc).filter(~is_missing(frame, key)).select(quoted(key).alias("value")).distinct()
 
 
-def first_id(frame: DataFrame, condition: Column) -> DataFrame:
-    """One row with the least _id that meets a condition, null if none does."""
-    return frame.filter(condition).agg(F.min(quoted(ID)).alias("target"))
+def distinct_in_order(frame: DataFrame, key: str = ID, filter_doc: Any = None) -> DataFrame:
+    """The same values in the order in which a scan by _id first meets them."""
+    if key not in frame.columns:
+        return distinct(frame, key)
+    found = matching(frame, filter_doc).filter(~is_missing(frame, key)).groupBy(quoted(key).alias("value"))
+    return found.agg(F.min(quoted(ID)).alias("first")).orderBy("first").select("value")
 
 
 def collection_stats(frame: DataFrame, namespace: str, n_indexes: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from tessera.commands import Commands
 from tessera.config import EngineConfig, ReplicationConfig, Role
 from tessera.engine import Engine, Follower
-from tessera.errors import DocumentValidationError, NotLeaderError, ProtocolError, StorageError, TransactionStateError
+from tessera.errors import ConflictError, DocumentValidationError, NotLeaderError, ProtocolError, StorageError, TransactionStateError
 from tessera.model import OPLOG, Namespace, read_row
 
 NS = Namespace("test", "users")
@@ -35,7 +35,7 @@ def test_crud_and_strict_values(commands, engine):
     assert ids({"name": None}) == [3]  # a missing field is not null
     assert ids({"_id": {"$gt": 2}}) == [3, 4] and ids({"_id": {"$gte": 2}, "name": "bob"}) == [2] and ids({"age": {"$gt": 0}}) == []
     assert commands.run({"count": "users", "query": {"age": 1}}, "test")["n"] == 1
-    assert commands.run({"distinct": "users", "key": "name"}, "test")["values"] == [None, "alice", "bob"]
+    assert commands.run({"distinct": "users", "key": "name"}, "test")["values"] == ["alice", "bob", None]  # as a scan meets them
     assert commands.run({"find": "users", "filter": {"_id": {"$lt": 2}}}, "test")["ok"] == 0.0
     assert commands.run({"update": "users", "updates": [{"q": {"_id": 1}, "u": {"$set": {"name": "al"}, "$inc": {"age": 2}}}, {"q": {}, "u": {"$unset": {"age": 1}}, "multi": True}]}, "test") == {"ok": 1.0, "n": 5, "nModified": 5}
     assert docs(engine.session().frame(NS))[0] == {"_id": 1, "name": "al"}
@@ -76,6 +76,8 @@ def test_paging(commands, engine):
     assert commands.run({"getMore": 0, "collection": "users"}, "test")["cursor"]["nextBatch"] == []
     r = commands.run({"aggregate": "users", "pipeline": [{"$match": {"name": "1"}}, {"$count": "n"}]}, "test")
     assert r["cursor"]["firstBatch"] == [{"n": 1}]
+    r = commands.run({"aggregate": "users", "pipeline": [{"$skip": 6}, {"$project": {"name": 1, "_id": 0}}]}, "test")
+    assert [d["name"] for d in r["cursor"]["firstBatch"]] == ["6", "7", "8", "9"]
     a = commands.run({"aggregate": "users", "pipeline": [], "cursor": {"batchSize": 6}}, "test")["cursor"]
     assert len(a["firstBatch"]) == 6 and len(commands.run({"getMore": a["id"], "collection": "users"}, "test")["cursor"]["nextBatch"]) == 4
 
@@ -139,6 +141,34 @@ def test_transactions_versions_and_audit(commands, engine, spark):
         engine.session(before).count(NS)
 
 
+def test_writers_conflict(commands, engine):
+    one, two = engine.session(), engine.session()
+    with pytest.raises(ConflictError), one.transaction():
+        one.insert_one(NS, {"_id": 1})
+        two.insert_one(NS, {"_id": 2})
+    assert [d["_id"] for d in docs(engine.session().frame(NS))] == [2]
+    assert [e["op"] for e in docs(engine.session().change_log())] == ["c", "i"]
+
+
+def test_torn_manifest(commands, engine, spark):
+    engine.session().insert_one(NS, {"_id": 1})
+    engine.store.folder.publish(f"manifests/{engine.store.manifest().version + 1:020d}.json", b'{"version": 9, "coll')
+    again = Engine(spark, engine.store.path)
+    assert again.session().count(NS) == 1  # the last whole state
+    again.session().insert_one(NS, {"_id": 2})
+    assert Engine(spark, engine.store.path).session().count(NS) == 2
+
+
+def test_log_rows_left_where_they_were_staged(commands, engine, spark):
+    """A writer that ends between publishing and moving its log rows loses nothing."""
+    engine.session().insert_one(NS, {"_id": 1})
+    name = engine.store.manifest().log[-1]
+    engine.store.folder.rename(name, engine.store.staged_log(name.rsplit("-", 1)[1]))
+    assert [e["op"] for e in docs(engine.session().change_log())] == ["c"]
+    assert engine.checkpoint() is not None
+    assert [e["op"] for e in docs(Engine(spark, engine.store.path).session().change_log())] == ["c", "i"]
+
+
 def test_many_segments(commands, engine, monkeypatch):
     monkeypatch.setattr("tessera.engine.MAX_SEGMENTS", 3)
     s, model = engine.session(), {}
