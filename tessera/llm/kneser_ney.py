@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stream_groups, typed, utf8
-from .store import Ranges, blobs, get, new_store, put, summed, unsqueeze, unsqueeze_sorted
+from .common import cut, stream_groups, typed, utf8
+from .store import Ranges, blobs, get, new_store, put, remove, summed, unsqueeze, unsqueeze_sorted
 
 FOLDS, HELD_OUT = 7, 2
 #: A text cannot hold these as words, for they hold a space.
@@ -42,7 +42,7 @@ UNKNOWN = np.uint32(0xFFFFFFFF)
 #: Words are fewer than pairs by far; with so many bits less their ranges are, too, and tasks send fewer pieces.
 WORD_BITS_LESS = 3
 #: Tokens that are looked up together, and pairs that a worker adds up before it sends them.
-SLICE, HELD = 600_000, 3_000_000
+SLICE, HELD = 600_000, 2_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -306,4 +306,6 @@ def score(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_pydict(model.score(part))
 
-    return typed(docs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = cut(typed(docs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    remove(model.words.store)  # several times the scores' size
+    return scores

@@ -21,7 +21,8 @@ from pyspark.sql import SparkSession
 
 from .common import folder
 
-#: Arrays that this worker process has mapped.
+#: Arrays that this worker process has mapped, up to a number that a system allows; the longest held goes first.
+MOST_MAPPED = 16_384
 MAPPED: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -31,11 +32,12 @@ def new_store(spark: SparkSession, name: str) -> str:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     uri = fs.makeQualified(path).toString()
-    atexit.register(_remove, uri)
+    atexit.register(remove, uri)
     return uri
 
 
-def _remove(uri: str) -> None:
+def remove(uri: str) -> None:
+    """Deletes a store that no frame reads any more; called again, it does nothing."""
     try:
         fs, path = _opened(uri)
         fs.delete_dir(path)
@@ -49,6 +51,8 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def put(uri: str, name: str, array: np.ndarray) -> None:
     fs, path = _opened(uri)
+    if fs.get_file_info(f"{path}/{name}.npy").type != pafs.FileType.NotFound:
+        return  # a task that ran before has written the same
     own = f"{path}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
         np.lib.format.write_array(out, np.ascontiguousarray(array), allow_pickle=False)
@@ -59,6 +63,8 @@ def get(uri: str, name: str) -> np.ndarray:
     if (uri, name) not in MAPPED:
         for old in [k for k in MAPPED if k[0].rsplit("-", 1)[0] == uri.rsplit("-", 1)[0] and k[0] != uri]:
             del MAPPED[old]  # a former run's
+        while len(MAPPED) >= MOST_MAPPED:
+            del MAPPED[next(iter(MAPPED))]
         fs, path = _opened(uri)
         if isinstance(fs, pafs.LocalFileSystem):
             MAPPED[uri, name] = np.load(f"{path}/{name}.npy", mmap_mode="r")
