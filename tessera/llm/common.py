@@ -9,6 +9,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -194,3 +195,15 @@ def by_size(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterat
             held.append(table.slice(first))
     if held:
         yield pa.concat_tables(held)
+
+
+class Memo(dict):
+    """Remembered values; those of the generation before are taken over when they are used again, the rest go with it."""
+
+    def __init__(self, older: dict) -> None:
+        super().__init__()
+        self.older = dict(older)
+
+    def __missing__(self, key: str) -> Any:
+        found = self[key] = self.older[key]
+        return found

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import typed
+from .common import Memo, typed
 
 WINDOW = 2048
 END = 1
@@ -53,18 +53,6 @@ def plain_letters(word: str) -> bool:
     return word.isalpha() and is_normalized("NFC", word) and word.lower().isalpha()
 
 
-class Memo(dict):
-    """Remembered words; those of the generation before are taken over when they are used again, the rest go with it."""
-
-    def __init__(self, older: dict[str, bytes]) -> None:
-        super().__init__({"": b""})
-        self.older = dict(older)
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.older[word]
-        return found
-
-
 class WordEncoder:
     """Identifiers of texts under a vocabulary that never joins characters across white space, so words can be remembered."""
 
@@ -73,7 +61,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo({})
+        self.tokenizer, self.memo = Tokenizer.from_str(spec), Memo({"": b""})
         suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)  # identifiers that end a word; without such a suffix none

@@ -3,7 +3,7 @@
 A text is cut at the vocabulary's special strings and then into pieces by the byte-level pattern. A
 piece starts as one symbol per byte in a doubly linked list; a heap holds the adjacent pairs that have
 a merge rank. The lowest rank, leftmost first, is popped and merged until none is left. The count is the
-number of initial symbols minus the merges. Pieces repeat, so each worker keeps a bounded memo of counts.
+number of initial symbols minus the merges. Pieces and runs of them repeat, so each worker keeps bounded memos of counts.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows are counted row by row; an
 empty table gives no rows; other columns are not read. Whole texts of any length are counted.
@@ -11,15 +11,20 @@ empty table gives no rows; other columns are not read. Whole texts of any length
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, utf8
+from .common import Memo, typed, utf8
 
 #: The public byte-level pattern, and the bytes that it shows as themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,7 +34,12 @@ SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: A run of other characters with the space before it, or the space between runs: no piece crosses these cuts.
 RUN = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
+#: Texts that are not cut before each blank: neighbouring or final blanks, other white space, and the mark used to cut.
+UNEVEN = "[ \t\n\r\x0b\x0c][ \t\n\r\x0b\x0c]|[ \t\n\r\x0b\x0c]$|[" + ODD_SPACE.pattern[1:-1] + "\0]"
+#: Runs, and pieces, remembered in a generation.
 MEMO = 400_000
+#: Documents whose runs are looked up together.
+SLICE = 1500
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,6 +48,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Mergers of this worker process, by digest of their file; they keep their memo from task to task.
+MERGERS: dict[str, PairMerger] = {}
+
+
+def merger_of(spec: str) -> PairMerger:
+    name = hashlib.sha256(spec.encode()).hexdigest()
+    if name not in MERGERS:
+        MERGERS[name] = PairMerger(spec)
+    return MERGERS[name]
+
+
 class PairMerger:
     """Counts tokens of pieces under a ranked merge table."""
 
@@ -53,7 +74,7 @@ class PairMerger:
             ids = [number.setdefault(x, len(number)) for x in (left, right, left + right)]
             self.merges.setdefault((ids[0], ids[1]), (rank, ids[2]))
         self.pattern = regex.compile(PATTERN)
-        self.memo: dict[str, int] = {}
+        self.runs, self.pieces = Memo({}), Memo({})
 
     def count_piece(self, piece: bytes) -> int:
         """Initial symbols minus merges, by a heap over a linked list."""
@@ -84,13 +105,27 @@ class PairMerger:
                 heapq.heappush(heap, (hit[0], prior, symbol[prior], new, hit[1]))
         return n - merged
 
+    def count_known(self, piece: str) -> int:
+        try:
+            return self.pieces[piece]
+        except KeyError:
+            n = self.count_piece(utf8(piece))
+            if len(piece) <= 32:
+                if len(self.pieces) >= MEMO:
+                    self.pieces = Memo(self.pieces)
+                self.pieces[piece] = n
+            return n
+
     def count_run(self, run: str) -> int:
-        total = sum(self.count_piece(utf8(x)) for x in self.pattern.findall(run))
-        if len(run) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[run] = total
-        return total
+        try:
+            return self.runs[run]
+        except KeyError:
+            total = sum(map(self.count_known, self.pattern.findall(run)))
+            if len(run) <= 64:
+                if len(self.runs) >= MEMO:
+                    self.runs = Memo(self.runs)
+                self.runs[run] = total
+            return total
 
     def count(self, text: str) -> int:
         total = 0
@@ -101,12 +136,31 @@ class PairMerger:
 
     def count_plain(self, text: str) -> int:
         if ODD_SPACE.search(text):
-            return sum(self.count_piece(utf8(x)) for x in self.pattern.findall(text))
-        known, total = self.memo.get, 0
-        for run in RUN.findall(text):
-            n = known(run)
-            total += self.count_run(run) if n is None else n
-        return total
+            return sum(map(self.count_known, self.pattern.findall(text)))
+        return sum(map(self.count_run, RUN.findall(text)))
+
+
+def count_all(merger: PairMerger, texts: pa.Array) -> np.ndarray:
+    """Token counts of a column of texts.
+
+    Where blanks stand alone and none ends the text, a piece boundary is before every blank: such texts are cut there, and
+    each distinct run is looked up once. The others are counted one by one.
+    """
+    texts = pc.fill_null(texts, "")
+    apart = pc.match_substring_regex(texts, UNEVEN)
+    if merger.special:
+        apart = pc.or_(apart, pc.match_substring_regex(texts, "|".join(map(re.escape, merger.special))))
+    counts = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+        counts[i] = merger.count(texts[i].as_py())
+    plain = pc.invert(apart)
+    split = pc.split_pattern(pc.replace_substring_regex(texts.filter(plain), "([ \t\n\r\x0b\x0c])", "\0\\1"), "\0")
+    numbered = split.flatten().dictionary_encode()
+    found = np.array(list(map(merger.count_run, numbered.dictionary.to_pylist())), np.int64)
+    total = np.r_[0, np.cumsum(found[numbered.indices.to_numpy()])]
+    bounds = split.offsets.to_numpy()
+    counts[plain.to_numpy(zero_copy_only=False)] = total[bounds[1:]] - total[bounds[:-1]]
+    return counts
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,13 +169,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     The vocabulary is a file of fixed size (about 2 MB) that the driver reads and broadcasts.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
-    cell: list[PairMerger] = []
 
-    def each(rows: dict[str, list]) -> dict[str, list]:
-        if not cell:
-            cell.append(PairMerger(spec.value))
-        texts = [x or "" for x in rows[text_col]]
-        n = [cell[0].count(x) for x in texts]
-        return {id_col: rows[id_col], "n_bytes": [len(utf8(x)) for x in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = merger_of(spec.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                n = count_all(merger, part.column(1))
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0)
+                yield pa.RecordBatch.from_pydict({id_col: part.column(0), "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
-    return map_rows(docs.select(id_col, text_col), each, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return typed(docs.select(id_col, text_col), run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
