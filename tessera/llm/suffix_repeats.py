@@ -14,8 +14,11 @@ have one anchor make a piece, of at most MOST bytes. So a repeat can be found am
    Pieces and their groups' first documents are written as sorted hash arrays.
 3. Workers look up their documents' pieces and know which bytes an earlier document has as well.
 
-A passage that a third of all documents share is one row per slice. Slices, pieces and ranges are of bounded
-size; a long document is read in blocks, whose edges only cut pieces, which step 2 takes care of.
+A passage that a third of all documents share is one row per slice. What stands at its edges differs from document to
+document, so one anchor can have very many different pieces. The pieces of an anchor that more than OFTEN documents
+have are cut into their single strings, each under its own hash: equal strings still meet, others are apart. So a group
+is at most OFTEN pieces, or one string per slice. A long document is read in blocks, whose edges only cut pieces, which
+step 2 takes care of.
 
 Defined results: null text counts as empty; a null id counts as the largest; rows of one id never mark each
 other; strings are judged on the input, and overlaps count; an empty table gives no rows; other columns are
@@ -42,6 +45,10 @@ GRAMS = LENGTH - GRAM + 1
 #: Longest piece: GRAMS strings that follow one another.
 MOST = LENGTH + GRAMS - 1
 SLICE, BLOCK, HELD = 4_000_000, 1_000_000, 1_500_000
+#: Bytes of units that a worker gathers before it sends them.
+SENT = 12_000_000
+#: Documents that may have an anchor whose pieces are kept together.
+OFTEN = 5_000
 LAST = 2**63 - 1
 BASE = 0x9E3779B97F4A7C15
 STIR = np.uint64(0xD6E8FEB86659FD93)
@@ -80,6 +87,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def evened(hashes: np.ndarray) -> np.ndarray:
+    """A one-to-one function that spreads anchors' hashes, which are small ones by their choice, evenly over all numbers."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * STIR
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 class Slice:
     """Some whole documents as one array of bytes, with their pieces."""
 
@@ -105,40 +118,60 @@ class Slice:
             real = anchor[fresh] >= 0
             first.append(fresh[real] + at)
             end.append(stop[real] + at + LENGTH - 1)
-            hashes.append(h[anchor[fresh[real]]])
+            hashes.append(evened(h[anchor[fresh[real]]]))
         none = np.zeros(0, np.int64)
         self.first, self.end = np.concatenate([none, *first]), np.concatenate([none, *end])
         self.hash = np.concatenate([none.astype(np.uint64), *hashes])
         self.doc = np.searchsorted(self.start, self.first, side="right") - 1
 
-    def content_hashes(self, which: np.ndarray) -> np.ndarray:
-        raw, of = self.raw, xxhash.xxh64_intdigest
-        return np.fromiter((of(raw[a:b]) for a, b in zip(self.first[which].tolist(), self.end[which].tolist())), np.uint64, len(which))
+
+class Units:
+    """The pieces of a slice whose anchor repeats, or for a frequent anchor their single strings, in the order of their range."""
+
+    def __init__(self, part: Slice, known: Ranges) -> None:
+        order = np.argsort(part.hash)
+        shard, place = known.place(part.hash[order])
+        often = known.read("often", shard, place) > 0
+        plain, cut = order[(place >= 0) & ~often], order[(place >= 0) & often]
+        n = part.end[cut] - part.first[cut] - LENGTH + 1
+        begin = np.repeat(part.first[cut], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        self.first, self.end = np.concatenate([part.first[plain], begin]), np.concatenate([part.end[plain], begin + LENGTH])
+        self.doc = np.concatenate([part.doc[plain], np.repeat(part.doc[cut], n)])
+        raw, of = part.raw, xxhash.xxh64_intdigest
+        self.content = np.fromiter((of(raw[a:b]) for a, b in zip(self.first.tolist(), self.end.tolist())), np.uint64, len(self.first))
+        self.key = np.concatenate([part.hash[plain], self.content[len(plain) :]])
+        self.shard = (self.key >> np.uint64(64 - known.bits)).astype(np.int64)
+        self.pick(np.argsort(self.shard, kind="stable"))
+
+    def pick(self, which: np.ndarray) -> None:
+        for name in ("first", "end", "doc", "content", "key", "shard"):
+            setattr(self, name, getattr(self, name)[which])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Slice]:
     return map(Slice, by_size(batches, 1, SLICE))
 
 
-def repeated_anchors(docs: DataFrame, store: str, bits: int) -> Ranges:
-    """Ranges "anchor": hashes of the anchors that two documents have."""
+def repeated_anchors(docs: DataFrame, store: str, bits: int, often: int) -> Ranges:
+    """Ranges "anchor": hashes of the anchors that two documents have, with "often": whether more than `often` have it."""
     shift = np.uint64(64 - bits)
 
     def sent(held: list) -> pa.RecordBatch:
         keys, times = summed(*map(np.concatenate, zip(*held)))
-        return blobs((keys >> shift).astype(np.int64), keys, np.minimum(times, 2))
+        return blobs((keys >> shift).astype(np.int64), keys, times)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for part in slices(batches):
-            order = np.argsort(part.hash)
+            order = np.argsort(part.hash, kind="stable")
             keys, ids = part.hash[order], part.key[part.doc[order]]
             if not len(keys):
                 continue
-            fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            several = np.minimum.reduceat(ids, fresh) != np.maximum.reduceat(ids, fresh)
-            held.append((keys[fresh], 1 + several))
-            n += len(fresh)
+            fresh = np.r_[True, keys[1:] != keys[:-1]]
+            other = fresh | np.r_[True, ids[1:] != ids[:-1]]
+            begin = np.flatnonzero(fresh)
+            held.append((keys[begin], np.add.reduceat(other.astype(np.int64), begin)))
+            n += len(begin)
             if n > HELD:
                 yield sent(held)
                 held, n = [], 0
@@ -149,47 +182,69 @@ def repeated_anchors(docs: DataFrame, store: str, bits: int) -> Ranges:
         for (shard,), rows in stream_groups(batches, ["shard"]):
             keys = np.concatenate([unsqueeze_sorted(x) for x in rows.column("keys").to_pylist()])
             keys, times = summed(keys, np.concatenate([unsqueeze(x) for x in rows.column("c0").to_pylist()]).astype(np.int64))
-            keys = keys[times > 1]
-            put(store, f"anchor-{shard}", keys)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "size": [len(keys)]})
+            put(store, f"anchor-{shard}", keys[times > 1])
+            put(store, f"often-{shard}", (times > often)[times > 1].astype(np.uint8))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "size": [int((times > 1).sum())]})
 
     sent_rows = typed(docs, count, "shard int, keys binary, c0 binary")
     done = typed(sent_rows.repartition("shard").sortWithinPartitions("shard"), write, "shard int, size long").collect()  # a row per range
     return Ranges(store, "anchor", bits, {r["shard"]: r["size"] for r in done})
 
 
-def candidates(part: Slice, known: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces whose anchor repeats, in the order of its hash, and its range."""
-    order = np.argsort(part.hash)
-    shard, place = known.place(part.hash[order])
-    return order[place >= 0], shard[place >= 0]
+class Outgoing:
+    """Distinct units of several slices, until there are enough of them to send."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.data: list[bytes] = []
+        self.size = 0
+
+    def add(self, part: Slice, units: Units) -> None:
+        ids = part.key[units.doc]
+        if not len(ids):
+            return
+        order = np.lexsort((ids, units.content))
+        units.pick(order)
+        ids = ids[order]
+        fresh = np.flatnonzero(np.r_[True, units.content[1:] != units.content[:-1]])
+        several = ids[fresh] != np.maximum.reduceat(ids, fresh)
+        units.pick(fresh)
+        self.parts.append((units.shard, units.key, units.content, ids[fresh], several, units.end - units.first))
+        self.data += [part.raw[a:b] for a, b in zip(units.first.tolist(), units.end.tolist())]
+        self.size += int(self.parts[-1][5].sum())
+
+    def sent(self) -> pa.RecordBatch:
+        """A row per range: key, first document, length (+128 if in several documents) and bytes of its units, compressed."""
+        shard, key, content, ids, several, length = map(np.concatenate, zip(*self.parts))
+        order = np.lexsort((ids, content))
+        fresh = np.flatnonzero(np.r_[True, content[order[1:]] != content[order[:-1]]])
+        several = np.logical_or.reduceat(several[order], fresh) | (ids[order[fresh]] != np.maximum.reduceat(ids[order], fresh))
+        one = order[fresh]
+        marked = (length[one] + 128 * several).astype(np.uint8)
+        by = np.lexsort((key[one], shard[one]))
+        one, marked = one[by], marked[by]
+        out: dict[str, list] = {"shard": [], "keys": [], "ids": [], "sizes": [], "data": []}
+        for s, a, b in runs(shard[one]):
+            out["shard"].append(s)
+            out["keys"].append(squeeze_sorted(key[one[a:b]]))
+            out["ids"].append(squeeze(ids[one[a:b]]))
+            out["sizes"].append(squeeze(marked[a:b]))
+            out["data"].append(zstandard.ZstdCompressor(level=1).compress(b"".join([self.data[i] for i in one[a:b].tolist()])))
+        self.__init__()
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
 
 
 def pieces(docs: DataFrame, known: Ranges) -> DataFrame:
-    """Compressed rows of each slice's distinct pieces by range: anchor, first document, length (+128 if in several documents), bytes."""
+    """Compressed rows of distinct units by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outgoing()
         for part in slices(batches):
-            which, shard = candidates(part, known)
-            content, ids = part.content_hashes(which), part.key[part.doc[which]]
-            order = np.lexsort((ids, content, shard))
-            which, shard, content, ids = which[order], shard[order], content[order], ids[order]
-            if not len(which):
-                continue
-            fresh = np.flatnonzero(np.r_[True, (content[1:] != content[:-1]) | (shard[1:] != shard[:-1])])
-            several = ids[fresh] != np.maximum.reduceat(ids, fresh)
-            which, shard, ids = which[fresh], shard[fresh], ids[fresh]
-            order = np.lexsort((part.hash[which], shard))
-            which, shard, ids, several = which[order], shard[order], ids[order], several[order]
-            length = (part.end - part.first)[which]
-            out: dict[str, list] = {"shard": [], "keys": [], "ids": [], "sizes": [], "data": []}
-            for s, a, b in runs(shard):
-                out["shard"].append(s)
-                out["keys"].append(squeeze_sorted(part.hash[which[a:b]]))
-                out["ids"].append(squeeze(ids[a:b]))
-                out["sizes"].append(squeeze((length[a:b] + 128 * several[a:b]).astype(np.uint8)))
-                out["data"].append(zstandard.ZstdCompressor(level=1).compress(b"".join([part.raw[x:y] for x, y in zip(part.first[which[a:b]].tolist(), part.end[which[a:b]].tolist())])))
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
+            out.add(part, Units(part, known))
+            if out.size > SENT:
+                yield out.sent()
+        if out.size:
+            yield out.sent()
 
     return typed(docs, run, "shard int, keys binary, ids binary, sizes binary, data binary")
 
@@ -305,20 +360,19 @@ def first_documents(docs: DataFrame, store: str, known: Ranges) -> Ranges:
 
 def found_in(part: Slice, known: Ranges, firsts: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans of a slice that an earlier document has: number of the document within the slice, begin, end (in the slice), earlier document."""
-    which, shard = candidates(part, known)
-    content, out = part.content_hashes(which), []
-    for s, a, b in runs(shard):
+    units, out = Units(part, known), []
+    for s, a, b in runs(units.shard):
         if not firsts.sizes.get(s):
             continue
         held = get(firsts.store, f"piece-{s}")
-        left, right = np.searchsorted(held, content[a:b], "left"), np.searchsorted(held, content[a:b], "right")
+        left, right = np.searchsorted(held, units.content[a:b], "left"), np.searchsorted(held, units.content[a:b], "right")
         n = right - left
         at = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = np.repeat(which[a:b], n)
+        own = np.repeat(np.arange(a, b), n)
         first = get(firsts.store, f"doc-{s}")[at]
-        earlier = first < part.key[part.doc[own]]
+        earlier = first < part.key[units.doc[own]]
         at, own = at[earlier], own[earlier]
-        out.append((part.doc[own], part.first[own] + get(firsts.store, f"low-{s}")[at], part.first[own] + get(firsts.store, f"high-{s}")[at] + LENGTH, first[earlier]))
+        out.append((units.doc[own], units.first[own] + get(firsts.store, f"low-{s}")[at], units.first[own] + get(firsts.store, f"high-{s}")[at] + LENGTH, first[earlier]))
     none = np.zeros(0, np.int64)
     return tuple(map(np.concatenate, zip(*out))) if out else (none,) * 4
 
@@ -332,13 +386,13 @@ def removed(part: Slice, known: Ranges, firsts: Ranges) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict], schema: str | StructType) -> DataFrame:
+def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict], schema: str | StructType, often: int) -> DataFrame:
     """each() of every slice of docs, whose first columns are doc_id and text."""
     spark = docs.sparkSession
     store = new_store(spark, "repeats")
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     texts = docs.select("doc_id", "text")
-    known = repeated_anchors(texts, store, bits)
+    known = repeated_anchors(texts, store, bits, often)
     firsts = first_documents(texts, store, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,14 +402,14 @@ def with_repeats(docs: DataFrame, each: Callable[[Slice, Ranges, Ranges], dict],
     return typed(docs, run, schema)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """doc_id, begin, end, first_doc_id: spans of a document that an earlier one has, each with that one; spans may overlap."""
 
     def each(part: Slice, known: Ranges, firsts: Ranges) -> dict:
         doc, begin, end, first = found_in(part, known, firsts)
         return {"doc_id": [part.ids[i] for i in doc], "begin": begin - part.start[doc], "end": end - part.start[doc], "first_doc_id": first}
 
-    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, begin long, end long, first_doc_id long")
+    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, begin long, end long, first_doc_id long", often)
 
 
 def kept_parts(part: Slice, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -368,17 +422,17 @@ def kept_parts(part: Slice, gone: np.ndarray) -> Iterator[tuple[int, int, bytes]
         yield count, spans, data[a : a + n][~own].tobytes() if count else part.raw[a : a + n]
 
 
-def kept_bytes(docs: DataFrame) -> DataFrame:
+def kept_bytes(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) of every row."""
 
     def each(part: Slice, known: Ranges, firsts: Ranges) -> dict:
         count, spans, kept = zip(*kept_parts(part, removed(part, known, firsts)))
         return {"doc_id": part.ids, "n_bytes": part.size, "n_removed": count, "n_spans": spans, "kept": pa.array(kept, pa.binary())}
 
-    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_repeats(docs.select("doc_id", "text"), each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", often)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, often: int = OFTEN) -> DataFrame:
     """docs with the text that is left; characters cut in two are dropped, a text without repeats stays as it is, null too.
 
     Other columns pass through, except n_chars, if there, which follows the text. Documents of which only blanks are
@@ -398,4 +452,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             rows = rows.set_column(at, "n_chars", pa.array(lengths, rows.schema.field(at).type))
         return rows.filter(pa.array(stay)).combine_chunks().to_pydict()
 
-    return with_repeats(ordered, each, ordered.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_repeats(ordered, each, ordered.schema, often).select(*[F.col(f"`{c}`") for c in docs.columns])

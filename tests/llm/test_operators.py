@@ -267,7 +267,9 @@ def digest(frame):
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_repeats(request, which):
     frame = request.getfixturevalue(which)
-    assert digest(suffix_repeats.kept_bytes(frame)) == sorted(map(str, plain_repeats(texts(frame))))
+    want = sorted(map(str, plain_repeats(texts(frame))))
+    assert digest(suffix_repeats.kept_bytes(frame)) == want
+    assert digest(suffix_repeats.kept_bytes(frame, often=2)) == want  # frequent anchors in single strings
 
 
 def test_repeats_in_periodic_and_overlapping_texts(spark, monkeypatch):
@@ -278,7 +280,7 @@ def test_repeats_in_periodic_and_overlapping_texts(spark, monkeypatch):
     rows = rows[::-1]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(str, plain_repeats(rows)))
-    assert digest(suffix_repeats.kept_bytes(frame)) == want
+    assert digest(suffix_repeats.kept_bytes(frame)) == want == digest(suffix_repeats.kept_bytes(frame, often=3))
     monkeypatch.setattr(suffix_repeats, "BLOCK", 64)  # edges of blocks within documents
     assert all(len(suffix_repeats.Slice(t).first) for t in [__import__("pyarrow").table({"doc_id": [1], "text": ["x" * 500]})])
 
@@ -470,7 +472,12 @@ def test_token_counts_of_odd_strings(none):
     pick, tokenizer, counter = random.Random(9), Tokenizer.from_file(BYTE), token_counts.PairMerger(open(BYTE).read())
     letters = " \t\n\r\x0b\x0c\xa0 ab'sZ1½é\u0301\U0001f600.,<|>-\x1c\x85\u200b\u3000\ufeff"
     strings = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|>" * 3, "x" * 20_000, " " * 5000, "ab" * 4000 + "<|endoftext|>\n\n"]
-    assert [counter.count(s) for s in strings] == [len(e.ids) for e in tokenizer.encode_batch(strings, add_special_tokens=False)]
+    want = [len(e.ids) for e in tokenizer.encode_batch(strings, add_special_tokens=False)]
+    assert [counter.count(s) for s in strings] == want
+    words = ["ab", "'s", "don't", "1.5", "é", "\U0001f600", "x" * 70, "\0", "a\0b", "<|endoftext|>", "\u2003"]
+    spaced = ["".join(pick.choice(words) + pick.choice(" \n\t ") for _ in range(pick.randint(0, 12))) + pick.choice(["", "z"]) for _ in range(2000)]
+    want += [len(e.ids) for e in tokenizer.encode_batch(spaced, add_special_tokens=False)]
+    assert token_counts.count_all(counter, __import__("pyarrow").array([*strings, *spaced, None])).tolist() == [*want, 0]
     assert token_counts.token_counts(none, BYTE).count() == 0
 
 
