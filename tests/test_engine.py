@@ -87,6 +87,9 @@ def test_catalog_and_errors(commands, engine):
     assert commands.run({"createIndexes": "users", "indexes": [{"key": {"name": 1}, "name": "name_1"}]}, "test")["ok"] == 1.0  # the same again
     for spec in ({"key": {"city": 1}}, {"key": {"name": -1}}, {"key": {"name": 1, "age": 1}}):
         assert commands.run({"createIndexes": "users", "indexes": [spec]}, "test")["ok"] == 0.0
+    assert engine.session().open_index_cursor(NS, "name_1").columns == ["name", "_id"]
+    with pytest.raises(StorageError):
+        engine.session().open_index_cursor(NS, "none")
     assert [i["name"] for i in commands.run({"listIndexes": "users"}, "test")["cursor"]["firstBatch"]] == ["_id_", "name_1"]
     assert [c["name"] for c in commands.run({"listCollections": 1}, "test")["cursor"]["firstBatch"]] == ["users"]
     assert commands.run({"listCollections": 1}, "test")["cursor"]["ns"] == "test.$cmd.listCollections"
