@@ -42,7 +42,7 @@ PAUSE = "([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,]) "
 AS_IT_IS = "<\\||[\u0300-\u036f]"
 LETTERED = re.compile(rf"^(([^\W\d_]+)([{STOPS}]*))$", re.M)
 #: Documents whose words are looked up together.
-SLICE = 1500
+SLICE = 1000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Encoders of this worker process, by digest of their file; they keep their memo from task to task.
 ENCODERS: dict[tuple[str, int], WordEncoder] = {}
