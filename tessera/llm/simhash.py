@@ -9,7 +9,8 @@ bits on which all its codes agree, less those that its parent holds. A search go
 group's node, adds up the differing bits on its way and leaves a whole node as soon as they exceed 3.
 
 Linked codes of a group are reduced to a spanning forest before they leave the task, and the components
-of all links come from star steps over the table of links.
+of all links come from star steps over the table of links. Links name codes, so that texts without an id link
+like others; a component is named by its smallest id at the end.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; ties and repeated
 rows share a code; an empty table gives no rows; other columns are not read.
@@ -188,9 +189,10 @@ def near_links(codes: DataFrame, limit: int = GROUP) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = GROUP) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs(doc_id, text)."""
     marked = cut(fingerprints(docs, shingle))
-    codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    classes = components(near_links(codes, limit))
-    code_class = codes.join(classes, "node", "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "node").alias("component_id"))
+    codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = components(near_links(codes.select("fp", F.col("fp").alias("node")), limit))
+    classed = codes.join(classes, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("c_fp"), "least", F.coalesce("component", "fp").alias("class"))
+    code_class = classed.drop("least").join(classed.groupBy("class").agg(F.min("least").alias("component_id")), "class")
     joined = marked.join(code_class, F.col("fp") == F.col("c_fp"))
     return joined.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 

@@ -87,6 +87,16 @@ def test_simhash_empty_and_one_of_each(none, odd):
     assert sorted(i for i in kept if i is not None) == [1, 3, 4, 7, 8, 9, 10, 11, 12, 13, 14] and kept.count(None) == 2  # 5 and 6 are empty as 4 is
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    """Named codes 4 bits apart that a null-id code connects, an id above 2 ** 53, and near codes that nobody names."""
+    code = {"a": 0x5555555555555555, "bridge": 0x5555555555555556, "b": 0x555555555555555A, "c": -1, "d": -2}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    rows = [(2**53 + 1, code["a"]), (None, code["bridge"]), (2**53 + 3, code["b"]), (None, code["c"]), (None, code["d"]), (5, 0x0F0F0F0F0F0F0F0F)]
+    frame = spark.createDataFrame([(i, str(c)) for i, c in rows], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect())
+    assert got == collections.Counter([(2**53 + 1, 2**53 + 1), (None, 2**53 + 1), (2**53 + 3, 2**53 + 1), (None, None), (None, None), (5, 5)])
+
+
 def test_dense_codes_in_small_groups(spark):
     """Groups above the limit are cut finer and lose no link."""
     pick = np.random.default_rng(3)
