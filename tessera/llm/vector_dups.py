@@ -9,6 +9,8 @@ links are counted once and no pair leaves a task. Buckets with many vectors are
 compared with block.
 
 Equal vectors are one row with a multiplicity: they link with each other, and a link to one is a link to all.
+Links name these rows, so that vectors without an id link like others; a component is named by its smallest
+id at the end, and by null if it has none.
 
 Defined results: a vector that is null, zero or holds null or non-finite components links with nothing; vectors of
 different lengths do not link; repeated rows are separate vectors; an empty table gives no rows; other
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import cut, stream_groups, typed
 from .components import components
+from .simhash import merge_labels
 
 COSINE = 0.9
 RECALL = 0.98
@@ -103,13 +106,13 @@ def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def compare(table: pa.Table, at: int, same: bool, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Per vector of a block, or of two blocks against each other: linked vectors met here first, and a linked node of smaller id, if any."""
+def compare(table: pa.Table, at: int, same: bool, cosine: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per vector of a block, or of two blocks against each other: linked vectors met here first, the smallest linked node or itself, and the smallest node of its class."""
     node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
     first_block = table.column("side").to_numpy() == 0
     x = unit(matrix(table.column("vector"), kind).astype(float))
     rows, cols = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(first_block), np.flatnonzero(~first_block))
-    links, least, signs = np.zeros(len(node), np.int64), node.copy(), None
+    links, least, label, signs = np.zeros(len(node), np.int64), node.copy(), np.arange(len(node)), None
     for lo in range(0, len(rows), 512):
         part = rows[lo : lo + 512]
         i, j = np.nonzero(x[part] @ x[cols].T >= cosine - 1e-9)
@@ -122,17 +125,20 @@ def compare(table: pa.Table, at: int, same: bool, cosine: float, kind: str) -> t
         i, j = i[exact], j[exact]
         np.minimum.at(least, i, node[j])
         np.minimum.at(least, j, node[i])
+        label = merge_labels(label, i, j)
         if at:
             signs = matrix(table.column("signs"), "<i4") if signs is None else signs
             fresh = ~(signs[i, :at] == signs[j, :at]).any(axis=1)
             i, j = i[fresh], j[fresh]
         np.add.at(links, i, size[j])
         np.add.at(links, j, size[i])
-    return links, least
+    root = node.copy()
+    np.minimum.at(root, label, node)
+    return links, least, root[label]
 
 
 def linked(tables: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> DataFrame:
-    """node, links, least: partial counts of linked vectors, and a linked node that is smaller (or itself)."""
+    """node, links, least, root: partial counts of linked vectors, the smallest linked node (or itself), and the smallest node of its class in a block."""
     sizes = tables.groupBy(F.col("table").alias("b_table"), F.col("bucket").alias("b_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
     rows = tables.join(sizes, (F.col("table") == F.col("b_table")) & (F.col("bucket") == F.col("b_bucket"))).drop("b_table", "b_bucket")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", "table"), F.col("blocks")).cast("int"))
@@ -145,13 +151,13 @@ def linked(tables: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> D
             lengths = pc.binary_length(group.column("vector"))
             for d in pc.unique(lengths).to_pylist():
                 part = group.filter(pc.equal(lengths, d))
-                links, least = compare(part, key[0], key[2] == key[3], cosine, kind)
+                links, least, root = compare(part, key[0], key[2] == key[3], cosine, kind)
                 node = part.column("node").to_numpy()
-                some = (links > 0) | (least < node)
+                some = (links > 0) | (least < node) | (root != node)
                 if some.any():
-                    yield pa.RecordBatch.from_pydict({"node": node[some], "links": links[some], "least": least[some]})
+                    yield pa.RecordBatch.from_pydict({"node": node[some], "links": links[some], "least": least[some], "root": root[some]})
 
-    return typed(rows.repartition(*keys).sortWithinPartitions(*keys), run, "node long, links long, least long")
+    return typed(rows.repartition(*keys).sortWithinPartitions(*keys), run, "node long, links long, least long, root long")
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -161,13 +167,15 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
     rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{element}>").alias("vector"))
     zero = F.lit(0.0).cast(element)  # added to turn -0 into 0
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.transform("vector", lambda x: x + zero)))
-    reps = cut(rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")))
+    reps = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))  # as written: ids can be null
     k, tables, width = plan(reps.count(), cosine, recall)
     found = cut(linked(cut(hashed(reps.select("node", "size", "vector"), k, tables, width)), cosine, "<f4" if single else "<f8", block))
     counts = found.groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
-    classes = components(found.filter("least < node").select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "k_node")
+    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "k_node")
     per_rep = reps.join(counts, F.col("node") == F.col("c_node"), "left").join(classes, F.col("node") == F.col("k_node"), "left")
-    per_rep = per_rep.select(F.col("vector").alias("r_vector"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("class"))
+    per_rep = per_rep.select(F.col("vector").alias("r_vector"), "least_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "node").alias("k_class"))
+    per_rep = per_rep.join(per_rep.groupBy(F.col("k_class").alias("l_class")).agg(F.min("least_id").alias("class")), F.col("k_class") == F.col("l_class"))
     joined = rows.join(per_rep, F.col("vector") == F.col("r_vector"), "left")
-    out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"))
+    out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("r_vector").isNull(), F.col("vec_id")).otherwise(F.col("class")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

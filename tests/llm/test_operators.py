@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,6 +240,23 @@ def test_embeddings(spark):
     assert vector_dups.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_embeddings_link_through_rows_without_id(spark):
+    """A null-id vector connects two named ones that are too far apart; vectors that nobody names link too."""
+    turn = lambda degrees, at: [0.0] * at + [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))] + [0.0] * (6 - at)
+    rows = [(7, turn(0, 0)), (None, turn(20, 0)), (2**53 + 1, turn(40, 0)), (None, turn(0, 2)), (None, turn(20, 2)), (9, turn(0, 4)), (None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dups.near_vectors(frame, recall=0.9999).collect())
+    assert got == collections.Counter([(7, 1, 7), (None, 2, 7), (2**53 + 1, 1, 7), (None, 1, None), (None, 1, None), (9, 0, 9), (None, 0, None)])
+
+
+@pytest.mark.parametrize("order", [[0, 20, 40], [0, 40, 20], [20, 40, 0], [40, 20, 0]])
+def test_a_block_keeps_its_links_connected(order):
+    """Whichever of a chain's three vectors has the largest number, the block connects them all."""
+    x = np.array([[math.cos(math.radians(d)), math.sin(math.radians(d))] for d in order])
+    table = pa.table({"node": list(range(3)), "size": [1] * 3, "side": [0] * 3, "vector": [r.tobytes() for r in x], "signs": [b""] * 3})
+    assert len(set(vector_dups.compare(table, 0, True, 0.9, "<f8")[2].tolist())) == 1
+
+
 def test_blocks_of_a_large_bucket(spark):
     """All vectors of one bucket in blocks of three: as in one piece."""
     pick = np.random.default_rng(2)
