@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tessera.llm import mixing, queries
 from tessera.llm.common import cut
-from tests.llm.conftest import components
+from tests.llm.conftest import COLUMNS, components, sentence
 from tests.llm.test_operators import plain_counts, plain_fingerprint
 
 
@@ -52,6 +52,27 @@ def test_near_duplicate_stage(stages):
     assert as_text(rows(stages[2])) == as_text([r for i, r in enumerate(before) if group[i] == i])
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("which", ["odd", "given", "none", "copies"])
+def test_near_duplicates_by_five_words(request, spark, which):
+    """All pairs of similarity 0.8 or more by brute force; the copies are a text with one to eight words replaced, one copy without an id."""
+    if which == "copies":
+        base = sentence(11, 200).split()
+        copies = [(100 - c if c != 2 else None, " ".join(base[: 20 * c] + [f"w{c}"] * c + base[21 * c :]), "en", "s", 1) for c in range(9)]
+        frame = spark.createDataFrame(copies, COLUMNS)
+    else:
+        frame = request.getfixturevalue(which)
+    before = sorted(rows(frame), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    sets = [five_words(r["text"]) for r in before]
+    group = components(len(before), [(i, j) for i in range(len(before)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    want = [r for i, r in enumerate(before) if r["doc_id"] is None or group[i] == i]
+    assert as_text(rows(corpus_pipeline.drop_near_duplicates(spark, frame, ""))) == as_text(want)
+
+
 def test_repeats_stage(stages):
     before = sorted(rows(stages[2]), key=lambda r: r["doc_id"])
     first, want = {}, []
