@@ -5,8 +5,6 @@ They state what is asked for plainly, without an operator's method: all pairs, a
 
 from __future__ import annotations
 
-import math
-
 from . import quality, suffix_repeats, vector_dups
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -41,37 +39,47 @@ def repeats() -> str:
 
 def quality_rules() -> str:
     q = quality
+    rate, share = (lambda k, n: f"ln(({k} + 0.5) / ({n} + 0.5))"), (lambda k, n: f"ln(({k} + 0.5) / ({n} - {k} + 0.5))")
     measures = {
-        "symbols_per_word": "n_symbols / greatest(n_words, 1)", "chars_per_word": "word_chars / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-        "repeat_share": "n_repeat_words / greatest(n_words, 1)", "upper_share": "n_upper / greatest(word_chars, 1)", "marks_per_word": "n_marks / greatest(n_words, 1)",
+        "symbols_per_word": rate("n_symbols", "n_words"), "chars_per_word": rate("word_chars", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars"), "marks_per_word": rate("n_marks", "n_words"),
     }
-    small, step = f"CAST({q.SMALLEST} AS DOUBLE)", f"CAST({math.log(q.RATIO)!r} AS DOUBLE)"
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"
     listed = ", ".join(f"struct_pack(measure := '{k}', v := {v})" for k, v in measures.items())
-    slack = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.SLACK.items()) + " END"
-    value = lambda b: f"CASE WHEN {b} <= 0 THEN 0.0 ELSE {small} * pow(CAST({q.RATIO} AS DOUBLE), {b} - 0.5) END"
+    points = {"mid": 0.5, **{f"{side}{i}": x for i, p in enumerate(q.TAILS) for side, x in (("down", 1 - p), ("up", p))}}
+
+    def with_quantiles(name: str, by: str) -> str:
+        """For each group the buckets at which its weights reach the quantiles, and its spreads."""
+        at = ", ".join(f"min(bucket) FILTER (seen >= {double(x - q.EQUAL)} * total) AS {k}" for k, x in points.items())
+        up = ", ".join(f"(up{i} - mid) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
+        down = ", ".join(f"(mid - down{i}) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
+        sums = f"SELECT *, sum(w) OVER (PARTITION BY {by}, measure ORDER BY bucket) AS seen, sum(w) OVER (PARTITION BY {by}, measure) AS total FROM {name}"
+        return f"SELECT *, greatest({up}) AS wide_up, greatest({down}) AS wide_down FROM (SELECT {by}, measure, {at} FROM ({sums}) GROUP BY {by}, measure)"
 
-    def fences(source: str, by: str) -> str:
-        cumulated = f"SELECT *, sum(n) OVER (PARTITION BY {by}, measure ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {by}, measure) AS total FROM {source}"
-        at = ", ".join(f"min(bucket) FILTER (seen >= {p} * total) AS q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))
-        return f"""SELECT {by}, measure, size, mid - width AS low, mid + width AS high FROM (SELECT {by}, measure, max(total) AS size, {at} FROM ({cumulated}) GROUP BY {by}, measure) q,
-            LATERAL (SELECT {value('q2')} AS mid, {q.FENCE} * ({value('q3')} - ({value('q1')})) + {slack} AS width)"""
+    def sized(name: str, by: str) -> str:
+        return f"SELECT *, sum(w) OVER (PARTITION BY {by}) AS total FROM {name}"
 
+    same = "o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words FROM documents),
     grams AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
     twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM grams) WHERE n > 1),
     covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
     lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{WORDS}') GROUP BY rid),
-    f AS (SELECT d.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    counted AS (SELECT d.rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(t, '[^{q.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
         coalesce(lines.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks
         FROM d LEFT JOIN covered USING (rid) LEFT JOIN lines USING (rid)),
-    m AS (SELECT rid, lang, source, u.measure AS measure, u.v AS v FROM (SELECT rid, lang, source, unnest([{listed}]) AS u FROM f)),
-    sketch AS (SELECT lang, source, measure, CASE WHEN v <= {small} THEN 0 ELSE ceil(ln(v / {small}) / {step}) END AS bucket, count(*) AS n FROM m GROUP BY ALL),
-    by_lang AS (SELECT lang, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
-    own AS ({fences('sketch', 'lang, source')}), wide AS ({fences('by_lang', 'lang')}),
-    fence AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.size >= {q.MIN_GROUP} THEN own.low ELSE wide.low END AS low, CASE WHEN own.size >= {q.MIN_GROUP} THEN own.high ELSE wide.high END AS high
-        FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.measure = wide.measure),
+    f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS failed FROM counted),
+    m AS (SELECT rid, lang, source, u.measure AS measure, u.v AS v FROM (SELECT rid, lang, source, unnest([{listed}]) AS u FROM f WHERE NOT failed)),
+    own AS (SELECT lang, source, measure, floor(v / {double(q.STEP)}) AS bucket, CAST(count(*) AS DOUBLE) AS w FROM m GROUP BY ALL),
+    whole AS (SELECT measure, bucket, sum(w) AS w FROM own GROUP BY ALL),
+    by_lang AS (SELECT lang, measure, bucket, sum(w) AS w FROM own GROUP BY ALL),
+    l_mixed AS (SELECT lang, measure, bucket, w FROM by_lang
+      UNION ALL SELECT lang, measure, bucket, {q.PRIOR} * w / total FROM (SELECT DISTINCT lang, measure FROM by_lang) JOIN ({sized('whole', 'measure')}) USING (measure)),
+    o_mixed AS (SELECT lang, source, measure, bucket, w FROM own
+      UNION ALL SELECT o.lang, o.source, o.measure, bucket, {q.PRIOR} * w / total FROM (SELECT DISTINCT lang, source, measure FROM own) o JOIN ({sized('l_mixed', 'lang, measure')}) l ON {same}),
+    fence AS (SELECT o.lang, o.source, o.measure, {double(q.STEP)} * (o.mid - {double(q.FENCE)} * greatest(o.wide_down, l.wide_down / 2)) AS low, {double(q.STEP)} * (o.mid + {double(q.FENCE)} * greatest(o.wide_up, l.wide_up / 2) + 1) AS high
+        FROM ({with_quantiles('o_mixed', 'lang, source')}) o JOIN ({with_quantiles('l_mixed', 'lang')}) l ON {same}),
     beyond AS (SELECT DISTINCT rid FROM m JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source AND m.measure = fence.measure
         WHERE v > high OR (m.measure = 'chars_per_word' AND v < low))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND rid NOT IN (SELECT rid FROM beyond) AS kept
-    FROM (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS failed FROM f)"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND rid NOT IN (SELECT rid FROM beyond) AS kept FROM f"""

@@ -1,14 +1,21 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets a few measures. Their distribution is summarised per (language, source) in a
-log-bucket quantile sketch: counts of buckets whose bounds grow by a fixed ratio. Adding two sketches
-is adding their counts, so partial sketches merge in any order to the same result, and a rerun agrees.
-A group of fewer than MIN_GROUP documents takes its language's merged sketch. The upper fence of a measure is
+Every document gets a few measures, each a count k beside a size n. They are compared on a logarithmic scale:
+ln((k + 1/2) / (n + 1/2)) for a rate, ln((k + 1/2) / (n - k + 1/2)) for a share, where a count of nothing says the less
+the shorter the document is. The measures of the documents that pass the base rules are summarised per (language,
+source) in a quantile sketch: counts of buckets of fixed width on that scale. Adding two sketches is adding
+their counts, so partial sketches merge in any order to the same result, and a rerun agrees.
 
-    median + FENCE * (upper quartile - lower quartile) + SLACK[measure]
+No threshold is a fixed cutoff. A group's sketch is blended with its language's, which counts for PRIOR documents, and
+a language's with the whole table's likewise, so that a group of few documents leans on its language and one of many
+stands for itself, without a switch at some size. From the blended sketch come the median and, on the upper side, the
+distances to two upper quantiles, each divided by its distance in a normal distribution; the larger is the spread. Bad documents may be up to 15
+per cent of a group without moving these quantiles. The fence is
 
-and a document is rejected if a measure lies above its fence (for word length, also below the
-mirrored lower fence). The thresholds are joined back to the documents' measures.
+    median + FENCE * max(spread, half the language's spread)
+
+and a document is rejected if a measure lies above it (for word length, also if it lies below the fence of the
+lower side, from the lower quantiles). The fences are joined back to the documents' measures.
 
 Defined results: null text counts as empty; null language or source is a group of its own; ties have
 equal measures and so equal verdicts; repeated rows are judged row by row; an empty table gives no rows;
@@ -17,7 +24,6 @@ columns other than doc_id, text, lang and source are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +35,22 @@ from pyspark.sql.types import StructType
 from .common import cut, map_rows, typed, utf8
 
 SYMBOLS = "#*$%&|<>"
-FENCE = 6.0
-MIN_GROUP = 200
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Spreads from the median; a normal distribution has three in a million beyond.
+FENCE = 4.5
+#: Documents that a language's sketch counts for in a group's, and the whole table's in a language's.
+PRIOR = 200
+#: Quantiles on either side of the median and their distances from it in a normal distribution.
+TAILS = {0.75: 0.6745, 0.85: 1.0364}
+#: Width of a bucket; a measure is known to one per cent.
+STEP = 0.01
+#: Running sums of weights are equal within this share of the total.
+EQUAL = 1e-9
 #: Up to so many (language, source) groups the fences are broadcast, some 500 bytes each.
 BROADCAST_GROUPS = 10_000
-#: Ratio of a bucket's bounds; a quantile is off by half a percent at most.
-RATIO = 1.01
-SMALLEST = 1e-4
-#: Least distance of a fence from the median, in the measure's own unit.
-SLACK = {"symbols_per_word": 0.25, "chars_per_word": 1.5, "dup_line_share": 0.35, "repeat_share": 0.3, "upper_share": 0.35, "marks_per_word": 0.5}
+#: Up to so many languages their sketches are broadcast, some 50 KB each.
+BROADCAST_LANGUAGES = 200
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
 
@@ -116,61 +127,73 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 
 def measures() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    """The measures on their logarithmic scale."""
+    rate = lambda k, n: F.log((F.col(k) + 0.5) / (F.col(n) + 0.5))
+    share = lambda k, n: F.log((F.col(k) + 0.5) / (F.col(n) - F.col(k) + 0.5))
     return {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "chars_per_word": F.col("word_chars") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "upper_share": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "marks_per_word": F.col("n_marks") / words,
+        "symbols_per_word": rate("n_symbols", "n_words"),
+        "chars_per_word": rate("word_chars", "n_words"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "upper_share": share("n_upper", "word_chars"),
+        "marks_per_word": rate("n_marks", "n_words"),
     }
 
 
-def bucket_of(value: Column) -> Column:
-    return F.when(value <= SMALLEST, F.lit(0)).otherwise(F.ceil(F.log(value / SMALLEST) / math.log(RATIO))).cast("int")
+def sketches(features: DataFrame) -> DataFrame:
+    """lang, source, measure, bucket, n: the mergeable sketch of each group's documents that pass the base rules; one row per bucket in use."""
+    named = F.array(*[F.struct(F.lit(k).alias("measure"), F.floor(v / STEP).cast("int").alias("bucket")) for k, v in measures().items()])
+    return features.filter(~base_failed()).select("lang", "source", F.explode(named).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def value_of(bucket: Column) -> Column:
-    return F.when(bucket <= 0, F.lit(0.0)).otherwise(F.lit(SMALLEST) * F.pow(F.lit(RATIO), bucket - 0.5))
+def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of larger groups; each as an array h of (bucket, weight) in order, with its total."""
+    summed = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").cast("double").alias("w"))
+    return summed.groupBy(*by, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("h"), F.sum("w").alias("total"))
 
 
-def sketches(features: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n: the mergeable sketch of each group; one row per bucket in use."""
-    named = F.array(*[F.struct(F.lit(k).alias("measure"), bucket_of(v).alias("bucket")) for k, v in measures().items()])
-    return features.select("lang", "source", F.explode(named).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
+def blended(own: Column, wide: Column, wide_total: Column) -> Column:
+    """A sketch with a wider one added, which counts for PRIOR documents."""
+    return F.sort_array(F.concat(own, F.transform(wide, lambda x: F.struct(x["bucket"].alias("bucket"), (PRIOR * x["w"] / wide_total).alias("w")))))
 
 
-def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
-    return sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+def quantiles(h: Column, total: Column) -> Column:
+    """The buckets at which a sketch reaches each quantile, as an array: the median, then each of TAILS below and above."""
+    points = [0.5, *(x for q in TAILS for x in (1 - q, q))]
 
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["w"]
+        at = [F.coalesce(acc["at"][i], F.when(seen >= (q - EQUAL) * total, x["bucket"])) for i, q in enumerate(points)]
+        return F.struct(seen.alias("seen"), F.array(*at).alias("at"))
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group with its size and a map of measure to (low, high), read off the sketch's quartiles."""
-    hist = sketch.groupBy(*by, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("total"))
+    start = F.struct(F.lit(0.0).alias("seen"), F.array(*[F.lit(None).cast("int")] * len(points)).alias("at"))
+    return F.aggregate(h, start, step, lambda acc: acc["at"])
 
-    def quantile(q: float) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            seen = acc["seen"] + x["n"]
-            return F.struct(seen.alias("seen"), F.when((acc["at"] < 0) & (seen >= q * F.col("total")), x["bucket"]).otherwise(acc["at"]).alias("at"))
 
-        return value_of(F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("int").alias("at")), step, lambda acc: acc["at"]))
+def spread(at: Column, side: int) -> Column:
+    """The larger of the tails' distances from the median on one side (-1 or 1), each as a share of a normal distribution's."""
+    return F.greatest(*[side * (at[1 + 2 * i + (side > 0)] - at[0]) / away for i, away in enumerate(TAILS.values())])
 
-    slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])[F.col("measure")]
-    width = FENCE * (F.col("q3") - F.col("q1")) + slack
-    return (
-        hist.select(*by, "measure", "total", quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
-        .groupBy(*by)
-        .agg(F.max("total").alias("size"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct((F.col("q2") - width).alias("low"), (F.col("q2") + width).alias("high"))))).alias("fence"))
-    )
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """lang, source, fence: a map of measure to (low, high) for each group."""
+    own = merged(sketch, ["lang", "source"])
+    all_ = merged(sketch, []).select("measure", F.col("h").alias("a_h"), F.col("total").alias("a_total"))  # six rows
+    by_lang = merged(sketch, ["lang"]).join(F.broadcast(all_), "measure")
+    by_lang = by_lang.select("lang", "measure", blended(F.col("h"), F.col("a_h"), F.col("a_total")).alias("h"), (F.col("total") + PRIOR).alias("total"))
+    by_lang = cut(by_lang.withColumn("at", quantiles(F.col("h"), F.col("total"))).select(*[F.col(c).alias(f"l_{c}") for c in ("lang", "measure", "h", "total", "at")]))
+    few = by_lang.count() <= BROADCAST_LANGUAGES * len(measures())
+    same = F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))
+    joined = own.join(F.broadcast(by_lang) if few else by_lang, same)
+    joined = joined.withColumn("at", quantiles(blended(F.col("h"), F.col("l_h"), F.col("l_total")), F.col("total") + PRIOR))
+    width = {side: FENCE * F.greatest(spread(F.col("at"), side), spread(F.col("l_at"), side) / 2) for side in (-1, 1)}
+    low, high = STEP * (F.col("at")[0] - width[-1]), STEP * (F.col("at")[0] + width[1] + 1)  # the outer ends of the buckets
+    return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct(low.alias("low"), high.alias("high"))))).alias("fence"))
 
 
 def thresholds(features: DataFrame) -> DataFrame:
-    """lang, source, fence: each group's own fences, or its language's if the group is small."""
-    sketch = cut(sketches(features))
-    a, b = fences(sketch, ["lang", "source"]).alias("a"), fences(merged(sketch, ["lang"]), ["lang"]).alias("b")
-    joined = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
-    return cut(joined.select("a.lang", "a.source", F.when(F.col("a.size") >= MIN_GROUP, F.col("a.fence")).otherwise(F.col("b.fence")).alias("fence")))
+    """lang, source, fence of each group."""
+    return cut(fences(cut(sketches(features))))
 
 
 def base_failed() -> Column:
