@@ -48,11 +48,11 @@ def quality_rules() -> str:
     listed = ", ".join(f"struct_pack(measure := '{k}', v := {v})" for k, v in measures.items())
     points = {"mid": 0.5, **{f"{side}{i}": x for i, p in enumerate(q.TAILS) for side, x in (("down", 1 - p), ("up", p))}}
 
-    def with_quantiles(name: str, by: str) -> str:
-        """For each group the buckets at which its weights reach the quantiles, and its spreads."""
+    def with_quantiles(name: str, by: str, middle: str) -> str:
+        """For each group the buckets at which its weights reach the quantiles, and its spreads about the middle."""
         at = ", ".join(f"min(bucket) FILTER (seen >= {double(x - q.EQUAL)} * total) AS {k}" for k, x in points.items())
-        up = ", ".join(f"(up{i} - mid) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
-        down = ", ".join(f"(mid - down{i}) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
+        up = ", ".join(f"(up{i} - {middle}) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
+        down = ", ".join(f"({middle} - down{i}) / {double(away)}" for i, away in enumerate(q.TAILS.values()))
         sums = f"SELECT *, sum(w) OVER (PARTITION BY {by}, measure ORDER BY bucket) AS seen, sum(w) OVER (PARTITION BY {by}, measure) AS total FROM {name}"
         return f"SELECT *, greatest({up}) AS wide_up, greatest({down}) AS wide_down FROM (SELECT {by}, measure, {at} FROM ({sums}) GROUP BY {by}, measure)"
 
@@ -78,8 +78,10 @@ def quality_rules() -> str:
       UNION ALL SELECT lang, measure, bucket, {q.PRIOR} * w / total FROM (SELECT DISTINCT lang, measure FROM by_lang) JOIN ({sized('whole', 'measure')}) USING (measure)),
     o_mixed AS (SELECT lang, source, measure, bucket, w FROM own
       UNION ALL SELECT o.lang, o.source, o.measure, bucket, {q.PRIOR} * w / total FROM (SELECT DISTINCT lang, source, measure FROM own) o JOIN ({sized('l_mixed', 'lang, measure')}) l ON {same}),
+    o_at AS ({with_quantiles('o_mixed', 'lang, source', 'mid')}),
+    apart AS (SELECT l.lang, l.measure, l.bucket - mid AS bucket, l.w FROM own l JOIN o_at o ON {same} AND o.source IS NOT DISTINCT FROM l.source),
     fence AS (SELECT o.lang, o.source, o.measure, {double(q.STEP)} * (o.mid - {double(q.FENCE)} * greatest(o.wide_down, l.wide_down / 2)) AS low, {double(q.STEP)} * (o.mid + {double(q.FENCE)} * greatest(o.wide_up, l.wide_up / 2) + 1) AS high
-        FROM ({with_quantiles('o_mixed', 'lang, source')}) o JOIN ({with_quantiles('l_mixed', 'lang')}) l ON {same}),
+        FROM o_at o JOIN ({with_quantiles('apart', 'lang', '0')}) l ON {same}),
     beyond AS (SELECT DISTINCT rid FROM m JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source AND m.measure = fence.measure
         WHERE v > high OR (m.measure = 'chars_per_word' AND v < low))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND rid NOT IN (SELECT rid FROM beyond) AS kept FROM f"""

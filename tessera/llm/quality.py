@@ -10,9 +10,10 @@ No threshold is a fixed cutoff. A group's sketch is blended with its language's,
 a language's with the whole table's likewise, so that a group of few documents leans on its language and one of many
 stands for itself, without a switch at some size. From the blended sketch come the median and, on the upper side, the
 distances to two upper quantiles, each divided by its distance in a normal distribution; the larger is the spread. Bad documents may be up to 15
-per cent of a group without moving these quantiles. The fence is
+per cent of a group without moving these quantiles. A group that is mostly copies of one document has no spread of its own, so half
+the spread is the least that documents of its language have about their own groups' medians (a sketch as well, of distances). The fence is
 
-    median + FENCE * max(spread, half the language's spread)
+    median + FENCE * max(spread, half the spread within the language's groups)
 
 and a document is rejected if a measure lies above it (for word length, also if it lies below the fence of the
 lower side, from the lower quantiles). The fences are joined back to the documents' measures.
@@ -40,7 +41,7 @@ MAX_REPEAT_PERCENT = 50
 #: Spreads from the median; a normal distribution has three in a million beyond.
 FENCE = 4.5
 #: Documents that a language's sketch counts for in a group's, and the whole table's in a language's.
-PRIOR = 200
+PRIOR = 50
 #: Quantiles on either side of the median and their distances from it in a normal distribution.
 TAILS = {0.75: 0.6745, 0.85: 1.0364}
 #: Width of a bucket; a measure is known to one per cent.
@@ -170,23 +171,30 @@ def quantiles(h: Column, total: Column) -> Column:
     return F.aggregate(h, start, step, lambda acc: acc["at"])
 
 
-def spread(at: Column, side: int) -> Column:
-    """The larger of the tails' distances from the median on one side (-1 or 1), each as a share of a normal distribution's."""
-    return F.greatest(*[side * (at[1 + 2 * i + (side > 0)] - at[0]) / away for i, away in enumerate(TAILS.values())])
+def spread(at: Column, side: int, middle: Column) -> Column:
+    """The larger of the tails' distances from the middle on one side (-1 or 1), each as a share of a normal distribution's."""
+    return F.greatest(*[side * (at[1 + 2 * i + (side > 0)] - middle) / away for i, away in enumerate(TAILS.values())])
+
+
+def with_language(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """groups beside the row of their language and measure in `of`, whose columns get the prefix l_."""
+    of = of.select(*[F.col(c).alias(f"l_{c}") for c in of.columns])
+    few = of.count() <= BROADCAST_LANGUAGES * len(measures())
+    same = F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))
+    return groups.join(F.broadcast(of) if few else of, same)
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source, fence: a map of measure to (low, high) for each group."""
-    own = merged(sketch, ["lang", "source"])
     all_ = merged(sketch, []).select("measure", F.col("h").alias("a_h"), F.col("total").alias("a_total"))  # six rows
     by_lang = merged(sketch, ["lang"]).join(F.broadcast(all_), "measure")
-    by_lang = by_lang.select("lang", "measure", blended(F.col("h"), F.col("a_h"), F.col("a_total")).alias("h"), (F.col("total") + PRIOR).alias("total"))
-    by_lang = cut(by_lang.withColumn("at", quantiles(F.col("h"), F.col("total"))).select(*[F.col(c).alias(f"l_{c}") for c in ("lang", "measure", "h", "total", "at")]))
-    few = by_lang.count() <= BROADCAST_LANGUAGES * len(measures())
-    same = F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))
-    joined = own.join(F.broadcast(by_lang) if few else by_lang, same)
-    joined = joined.withColumn("at", quantiles(blended(F.col("h"), F.col("l_h"), F.col("l_total")), F.col("total") + PRIOR))
-    width = {side: FENCE * F.greatest(spread(F.col("at"), side), spread(F.col("l_at"), side) / 2) for side in (-1, 1)}
+    by_lang = cut(by_lang.select("lang", "measure", blended(F.col("h"), F.col("a_h"), F.col("a_total")).alias("h"), (F.col("total") + PRIOR).alias("total")))
+    groups = with_language(merged(sketch, ["lang", "source"]), by_lang)
+    groups = cut(groups.select("lang", "source", "measure", "h", quantiles(blended(F.col("h"), F.col("l_h"), F.col("l_total")), F.col("total") + PRIOR).alias("at")))
+    apart = groups.select("lang", "measure", "at", F.explode("h").alias("x")).select("lang", "measure", (F.col("x.bucket") - F.col("at")[0]).alias("bucket"), F.col("x.w").alias("n"))
+    typical = cut(merged(apart, ["lang"]).select("lang", "measure", quantiles(F.col("h"), F.col("total")).alias("at")))
+    joined = with_language(groups, typical)
+    width = {side: FENCE * F.greatest(spread(F.col("at"), side, F.col("at")[0]), spread(F.col("l_at"), side, F.lit(0)) / 2) for side in (-1, 1)}
     low, high = STEP * (F.col("at")[0] - width[-1]), STEP * (F.col("at")[0] + width[1] + 1)  # the outer ends of the buckets
     return joined.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct(low.alias("low"), high.alias("high"))))).alias("fence"))
 
