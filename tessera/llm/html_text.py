@@ -7,33 +7,42 @@ a blank line, list items with their mark and indent, preformatted text as it sta
 columns. All visible text is kept, navigation and footers included.
 
 Not shown: scripts, styles, templates, the head, noscript, elements with the hidden attribute or with
-display:none, text under visibility:hidden, closed details but for the summary, closed dialogs, comments.
+display:none, text under visibility:hidden, closed details but for the summary, closed dialogs, comments, what stands in
+for audio, video, canvas, frames and objects with data, the parts of drawings that are not text, annotations of formulas.
+
+Elements may be nested without limit: the builder finds open tags by their places, and the renderer's calls wait on a list
+of their own. Some bounds concern the layout alone: lists and quotations are indented up to MAX_INDENT columns, cells of
+tables within MAX_TABLES tables are lines of their own instead of columns, and a cell reaches over 1,000 rows and columns at most.
 
 Defined results: null and empty pages give the empty text; an unfinished tag or comment at the end hides the
-rest, as in a browser; elements nested deeper than MAX_DEPTH go beside instead of below their parent, their
-text kept; repeated rows are rendered row by row; an empty table gives no rows; other columns are not read.
+rest, as in a browser; repeated rows are rendered row by row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator
 from html import unescape
+from typing import Any
 
 from pyspark.sql import DataFrame
 
 from .common import map_rows, utf8
 
-MAX_DEPTH = 150
 #: Columns are aligned up to this width; a longer cell sticks out.
 MAX_COLUMN = 60
+#: Widest indent of lists and quotations, and tables within tables that are laid out in columns.
+MAX_INDENT, MAX_TABLES = 80, 12
 
 #: Classes of tags of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = set("head title script style template noscript datalist meta link base iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = set("head title script style template noscript datalist meta link base iframe noembed noframes audio video canvas desc defs metadata symbol annotation annotation-xml".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre table dl figure hr fieldset".split())
-PLAIN = set("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav ol optgroup option search section summary tbody td tfoot th thead tr ul caption".split())
-ENDS_P = (SPACED | PLAIN) - set("body html td th tr tbody thead tfoot caption option optgroup legend".split())
+PLAIN = set("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html legend li main menu nav ol optgroup option search section summary tbody td text foreignobject tfoot th thead tr ul caption".split())
+ENDS_P = (SPACED | PLAIN) - set("body html td th tr tbody thead tfoot caption option optgroup legend text foreignobject".split())
 #: An opened tag ends these open ones, unless one of the bounds is opened within.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -46,6 +55,7 @@ ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 #: End tags don't reach out of these.
 WALLS = {"td", "th", "table", "caption", "template", "button"}
 TABLE_PARTS = set("table thead tbody tfoot tr td th caption".split())
+LISTS = {"ul", "ol", "menu", "dir"}
 
 MARKUP = re.compile(r"""<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|</[^a-zA-Z>][^>]*>|</>|</?[a-zA-Z].*""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -71,51 +81,53 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Element("#root")
         self.stack = [self.root]
-        self.beside: dict[str, int] = {}  # elements opened beyond MAX_DEPTH, by tag
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+
+    def innermost(self, tags: set[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if there is none."""
+        places = self.places
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at this place and those within."""
+        for element in self.stack[place:]:
+            self.places[element.tag].pop()
+        del self.stack[place:]
 
     def end_open(self, tags: set[str], bounds: set[str]) -> None:
         """Ends the outermost of the open `tags` that lies within the bounds."""
-        lowest = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in bounds:
-                break
-            if self.stack[i].tag in tags:
-                lowest = i
-        if lowest:
-            del self.stack[lowest:]
-
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        held = [at for t in tags if (at := self.places.get(t))]
+        if held:
+            bound = self.innermost(bounds)
+            within = [at[i] for at in held if (i := bisect_right(at, bound)) < len(at)]
+            if within:
+                self.cut(min(within))
+
+    def start(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
         if tag in ENDS_P:
             self.end_open({"p"}, WALLS)
         if tag in ENDS:
             self.end_open(*ENDS[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            self.push(Element("tr"))
-        self.push(Element(tag, attributes))
+            self.push(Element("tr"), False)
+        self.push(Element(tag, attributes), closed and bool(self.places.get("svg") or self.places.get("math")))
 
-    def push(self, element: Element) -> None:
+    def push(self, element: Element, closed: bool) -> None:
+        """An element below the innermost open one; `closed`: by its own tag, as only drawings and formulas have it."""
         self.stack[-1].children.append(element)
-        if element.tag in VOID:
-            return
-        if len(self.stack) < MAX_DEPTH:
+        if element.tag not in VOID and not closed:
+            self.places[element.tag].append(len(self.stack))
             self.stack.append(element)
-        else:
-            self.beside[element.tag] = self.beside.get(element.tag, 0) + 1
 
     def end(self, tag: str) -> None:
-        if self.beside.get(tag):
-            self.beside[tag] -= 1
-        elif tag == "br":
-            self.start("br", {})
-        else:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == tag:
-                    del self.stack[i:]
-                    return
-                if self.stack[i].tag in WALLS and tag not in TABLE_PARTS:
-                    break
-            if tag == "p":
-                self.stack[-1].children.append(Element("p"))
+        if tag == "br":
+            self.start("br", {}, False)
+            return
+        place = self.innermost({tag})
+        if place and (tag in TABLE_PARTS or self.innermost(WALLS) <= place):
+            self.cut(place)
+        elif tag == "p":
+            self.stack[-1].children.append(Element("p"))
 
     def text(self, text: str) -> None:
         if text:
@@ -139,7 +151,7 @@ def parse(page: str) -> Element:
             continue
         given = found[3]
         attributes = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(given)} if given and not given.isspace() else {}
-        build.start(tag, attributes)
+        build.start(tag, attributes, given.endswith("/"))
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             end = close.start() if close else size
@@ -150,155 +162,226 @@ def parse(page: str) -> Element:
     return build.root
 
 
+class Scope:
+    """A list item or quotation whose lines are under way: the columns before it, its mark, its first line's place."""
+
+    __slots__ = ("columns", "mark", "first", "gap", "written")
+
+    def __init__(self, columns: int, mark: str, first: int) -> None:
+        self.columns, self.mark, self.first, self.gap, self.written = columns, mark, first, 0, False
+
+
 class Flow:
     """Lines of text under way."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line, self.gap, self.written = "", 0, False
+        self.parts: list[str] = []  # of the line that is not at its end
+        self.scopes = [Scope(0, "", 0)]
 
     def put(self, text: str) -> None:
         """Text whose white space collapses."""
         text = BLANK.sub(" ", text)
-        if text.startswith(" ") and (not self.line or self.line.endswith((" ", "\n"))):
+        if text.startswith(" ") and (not self.parts or self.parts[-1][-1] in " \n"):
             text = text[1:]
-        self.line += text
+        if text:
+            self.parts.append(text)
 
     def put_as_is(self, text: str) -> None:
-        first, *rest = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-        self.line += first
-        for x in rest:
-            self.end_line(True)
-            self.line = x
+        for i, x in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n")):
+            if i:
+                self.end_line(True)
+            if x:
+                self.parts.append(x)
 
     def end_line(self, even_empty: bool = False) -> None:
-        line, self.line = self.line.rstrip(" \t"), ""
+        line = "".join(self.parts).rstrip(" \t")
+        self.parts.clear()
         if line or even_empty:
-            self.add([line])
-
-    def add(self, lines: list[str]) -> None:
-        if any(lines) and self.written and self.gap:
-            self.lines.extend([""] * self.gap)
-        if any(lines):
-            self.gap, self.written = 0, True
-        if self.written:
-            self.lines.extend(lines)
+            self.add(line)
+
+    def add(self, line: str) -> None:
+        """A line; blank ones before the first of a scope go. The first line in a scope has its mark, and the gap of the scope around."""
+        scopes = self.scopes
+        if not line:
+            if scopes[-1].written:
+                self.lines.append(line)
+            return
+        n = len(scopes)
+        while n and not scopes[n - 1].written:
+            n -= 1
+        if n:
+            self.lines += [""] * scopes[n - 1].gap
+            scopes[n - 1].gap = 0
+        for scope in scopes[n:]:
+            scope.gap, scope.written = 0, True
+        before = scopes[n].columns if n < len(scopes) else self.columns()
+        self.lines.append(" " * before + "".join([x.mark for x in scopes[n:]]) + line)
+
+    def columns(self) -> int:
+        return min(MAX_INDENT, self.scopes[-1].columns + len(self.scopes[-1].mark))
 
     def block(self, margin: int) -> None:
         self.end_line()
-        self.gap = max(self.gap, margin)
+        self.scopes[-1].gap = max(self.scopes[-1].gap, margin)
 
-    def done(self) -> list[str]:
+    def enter(self, mark: str) -> None:
+        self.scopes.append(Scope(self.columns(), mark, len(self.lines)))
+
+    def leave(self) -> None:
+        """Ends a scope, without the blank lines at its end."""
         self.end_line()
-        while self.lines and not self.lines[-1]:
+        scope = self.scopes.pop()
+        while len(self.lines) > scope.first and not self.lines[-1]:
             self.lines.pop()
+
+    def done(self) -> list[str]:
+        self.leave()
         return self.lines
 
 
+#: A call of the renderer: it yields the calls that it waits for and is sent what they return.
+Call = Generator["Call", Any, Any]
+
+
+def finish(call: Call) -> Any:
+    """What a call returns. Waiting calls are on a list, so pages may be nested as deep as they are."""
+    waiting, value = [call], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+    return value
+
+
+class Setting:
+    """What holds for an element's content: whether it is visible, stands as it is, lists and tables around, and whether it is a drawing's."""
+
+    __slots__ = ("visible", "as_is", "lists", "tables", "drawn")
+
+    def __init__(self, visible: bool = True, as_is: bool = False, lists: int = 0, tables: int = 0, drawn: bool = False) -> None:
+        self.visible, self.as_is, self.lists, self.tables, self.drawn = visible, as_is, lists, tables, drawn
+
+    def within(self, element: Element) -> Setting:
+        visible, tag = self.visible, element.tag
+        if "style" in element.attributes and (rule := VISIBILITY.search(element.attributes["style"])):
+            visible = rule[1].lower() == "visible"
+        drawn = tag == "svg" or (self.drawn and tag not in ("text", "foreignobject"))
+        as_is = (self.as_is and tag != "table") or tag in ("pre", "xmp", "listing", "textarea")
+        return Setting(visible, as_is, self.lists + (tag in LISTS), self.tables + (tag == "table"), drawn)
+
+
 def shown(element: Element) -> bool:
-    a = element.attributes
-    return not (element.tag in UNSEEN or "hidden" in a or (element.tag == "dialog" and "open" not in a) or ("style" in a and HIDING.search(a["style"])))
+    a, tag = element.attributes, element.tag
+    unseen = tag in UNSEEN or "hidden" in a or (tag == "dialog" and "open" not in a) or (tag == "object" and bool(a.get("data")))
+    return not (unseen or ("style" in a and HIDING.search(a["style"])))
 
 
-def fill(flow: Flow, parent: Element, visible: bool, as_is: bool, depth: int) -> None:
-    """Writes a parent's children into the flow; depth counts the lists around."""
+def fill(flow: Flow, parent: Element, here: Setting) -> Call:
+    """Writes a parent's children into the flow."""
     item = parent.number("start", 1)
     closed = parent.tag == "details" and "open" not in parent.attributes
     for child in parent.children:
         if isinstance(child, str):
-            if visible and not closed:
-                flow.put_as_is(child) if as_is else flow.put(child)
+            if here.visible and not closed and not here.drawn:
+                flow.put_as_is(child) if here.as_is else flow.put(child)
             continue
         tag = child.tag
-        if not shown(child) or (closed and tag != "summary"):
-            continue
-        seen = visible
-        if "style" in child.attributes and (rule := VISIBILITY.search(child.attributes["style"])):
-            seen = rule[1].lower() == "visible"
-        if tag == "br":
+        if tag == "br" and not closed and shown(child):
             flow.end_line(True)
-        elif tag == "table":
-            flow.block(1)
-            flow.add(table(child, seen, depth))
-            flow.block(1)
-        elif tag == "li":
+        if tag in VOID and tag != "hr" or not shown(child) or (closed and tag != "summary"):
+            continue
+        inner = here.within(child)
+        if tag == "li":
             mark = "- "
             if parent.tag == "ol":
                 item = child.number("value", item)
                 mark, item = f"{item}. ", item + 1
             flow.block(0)
-            lines = inside(child, seen, as_is, depth)
-            flow.add([(" " * len(mark) if i else mark) + x if x else x for i, x in enumerate(lines)])
+            flow.enter(mark)
+            yield fill(flow, child, inner)
+            flow.leave()
             flow.block(0)
-        elif tag in ("blockquote", "dd"):
-            margin = int(tag == "blockquote")
-            flow.block(margin)
-            flow.add(["  " + x if x else x for x in inside(child, seen, as_is, depth)])
-            flow.block(margin)
-        elif tag == "hr":
-            flow.block(1)
-        elif tag in ("ul", "ol", "menu", "dir"):
-            flow.block(int(not depth))
-            fill(flow, child, seen, as_is, depth + 1)
-            flow.block(int(not depth))
-        elif tag in SPACED or tag in PLAIN:
-            margin = int(tag in SPACED)
-            flow.block(margin)
-            fill(flow, child, seen, as_is or tag in ("pre", "xmp", "listing"), depth)
+            continue
+        margin = int(not here.lists if tag in LISTS else tag in SPACED)
+        block = margin or tag in PLAIN
+        if block:
             flow.block(margin)
+        if tag == "table" and inner.tables <= MAX_TABLES:
+            for line in (yield table(child, inner)):
+                flow.add(line)
+        elif tag in ("blockquote", "dd"):
+            flow.enter("  ")
+            yield fill(flow, child, inner)
+            flow.leave()
         else:
-            fill(flow, child, seen, as_is or tag == "textarea", depth)
+            yield fill(flow, child, inner)
+        if block:
+            flow.block(margin)
 
 
-def inside(element: Element, visible: bool, as_is: bool, depth: int) -> list[str]:
+def inside(element: Element, here: Setting) -> Call:
+    """The lines of an element's content."""
     flow = Flow()
-    fill(flow, element, visible, as_is, depth)
+    yield fill(flow, element, here)
     return flow.done()
 
 
-def table(element: Element, visible: bool, depth: int) -> list[str]:
+def table(element: Element, here: Setting) -> Call:
     """A table's rows, their cells aligned; the caption and stray content come first."""
     rows, other = [], Element("div")
     for child in element.children:
-        parts = child.children if isinstance(child, Element) and child.tag in ("tbody", "thead", "tfoot") and shown(child) else [child]
-        for x in parts:
-            if isinstance(x, Element) and x.tag == "tr":
-                rows += [x] * shown(x)
-            else:
+        section = isinstance(child, Element) and child.tag in ("tbody", "thead", "tfoot")
+        if section and not shown(child):
+            continue
+        around = here.within(child) if section else here
+        for x in child.children if section else [child]:
+            if not isinstance(x, Element) or x.tag != "tr":
                 other.children.append(x)
+            elif shown(x):
+                rows.append((x, around.within(x)))
     grid: list[dict[int, list[str]]] = []
-    blocked: dict[int, int] = {}  # rows still to skip in a column under a tall cell
-    for row in rows:
-        cells, at = {}, 0
-        stray = Element("div")
+    tall_cells: list[list[int]] = []  # first column, last + 1, rows still to skip; by column
+    for row, around in rows:
+        cells, at, stray, skip, below = {}, 0, Element("div"), 0, []
         for cell in row.children:
             if not isinstance(cell, Element) or cell.tag not in ("td", "th"):
                 stray.children.append(cell)
                 continue
-            while blocked.get(at, 0):
-                at += 1
-            wide, tall = max(1, cell.number("colspan", 1, 100)), max(1, cell.number("rowspan", 1, 1000))
-            cells[at] = inside(cell, visible, False, depth) if shown(cell) else []
-            for i in range(wide):
-                blocked[at + i] = max(blocked.get(at + i, 0), tall)
+            while skip < len(tall_cells) and tall_cells[skip][0] <= at:
+                at = max(at, tall_cells[skip][1])
+                skip += 1
+            wide, tall = max(1, cell.number("colspan", 1, 1000)), max(1, cell.number("rowspan", 1, 1000))
+            cells[at] = (yield inside(cell, around.within(cell))) if shown(cell) else []
+            if tall > 1:
+                below.append([at, at + wide, tall - 1])
             at += wide
-        blocked = {k: v - 1 for k, v in blocked.items() if v > 1}
-        if extra := inside(stray, visible, False, depth):
+        tall_cells = sorted([[a, b, n - 1] for a, b, n in tall_cells if n > 1] + below)
+        if extra := (yield inside(stray, around)):
             grid.append({0: extra})
         grid.append(cells)
     used = sorted({c for cells in grid for c, lines in cells.items() if lines})
-    width = {c: min(MAX_COLUMN, max((len(x) for cells in grid for x in cells.get(c, [])), default=0)) for c in used}
-    out = inside(other, visible, False, depth)
+    width = dict.fromkeys(used, 0)
+    for cells in grid:
+        for c, lines in cells.items():
+            if lines:
+                width[c] = max(width[c], min(MAX_COLUMN, max(map(len, lines))))
+    out = yield inside(other, here)
     for cells in grid:
+        last = max((c for c, lines in cells.items() if lines), default=-1)
+        columns = used[: bisect_right(used, last)]
         for i in range(max(map(len, cells.values()), default=0)):
-            line = "  ".join((cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(width[c]) for c in used)
+            line = "  ".join((cells[c][i] if c in cells and i < len(cells[c]) else "").ljust(width[c]) for c in columns)
             out.append(line.rstrip())
     return out
 
 
 def visible_text(page: str | None) -> str:
     """The text that a page shows, with its line layout."""
-    lines = inside(parse(page), True, False, 0) if page else []
+    lines = finish(inside(parse(page), Setting())) if page else []
     return "\n".join(lines).replace("\xa0", " ")
 
 
