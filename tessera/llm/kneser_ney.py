@@ -11,7 +11,9 @@ Scoring. Workers memory-map the arrays from the shared folder and look up the wo
 documents, in sorted order. p(w|h) = max(c(hw) - D, 0) / c(h) + g(h) p(w), with Chen and Goodman's three
 discounts, and p(w) is the discounted share of w among distinct pairs, interpolated with 1 / (V + 1).
 
-The model grows with the corpus: no count is cut off. The driver holds a few numbers per range.
+The model grows with the corpus: no count is cut off; counts that need it take 64 bits. A pair's key holds the numbers of
+its words in 32 bits each; a corpus of more distinct words than that is refused with an error. The driver holds a few numbers
+per range.
 
 Defined results: null text counts as empty: its only token is the end; a null id counts as the empty text when
 documents are dealt to training; repeated rows count twice and are scored row by row; without training
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, stream_groups, typed, utf8
-from .store import Ranges, blobs, get, new_store, put, remove, summed, unsqueeze, unsqueeze_sorted
+from .store import Ranges, blobs, get, narrow, new_store, put, remove, summed, unsqueeze, unsqueeze_sorted
 
 FOLDS, HELD_OUT = 7, 2
 #: A text cannot hold these as words, for they hold a space.
@@ -134,6 +136,12 @@ def vocabulary(docs: DataFrame, store: str, bits: int) -> tuple[Ranges, int]:
     return Ranges(store, "word", bits, {r["shard"]: r["size"] for r in done}), sum(r["total"] for r in done)
 
 
+def numbered_apart(words: int) -> None:
+    """Refuses a vocabulary whose numbers, with that of a text's start, would reach UNKNOWN."""
+    if words >= int(UNKNOWN):
+        raise OverflowError(f"{words} distinct words; pairs are numbered for fewer than {int(UNKNOWN)}")
+
+
 def numbered(words: Ranges, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vocabulary numbers of hashes (UNKNOWN if not there), and the range and place that they were found at, all in the hashes' order."""
     order = np.argsort(hashes)
@@ -186,7 +194,7 @@ def count_pairs(docs: DataFrame, store: str, words: Ranges, bits: int) -> DataFr
         for (shard,), rows in stream_groups(batches, ["shard"]):
             keys, times = unblob(rows, 1)
             put(store, f"pair-{shard}", keys)
-            put(store, f"times-{shard}", times.astype(np.uint32))
+            put(store, f"times-{shard}", narrow(times))
             plain = keys * UNMIX
             h, w = (plain >> np.uint64(32)).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
             none = np.zeros(len(h), np.int64)
@@ -282,6 +290,7 @@ def fit(docs: DataFrame) -> Model:
     store = new_store(spark, "ngrams")
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     words, n_tokens = vocabulary(docs, store, max(4, bits - WORD_BITS_LESS))
+    numbered_apart(int(words.offset[-1]))
     by_word = count_pairs(docs, store, words, bits).persist()
     try:
         found = by_word.filter("pair_shard is not null").select("pair_shard", "n_pairs", "ones", "twos", "threes", "fours").collect()  # a row per range

@@ -1,8 +1,9 @@
 """Arrays in the cluster's shared folder, written by tasks and memory-mapped by workers.
 
 A name is written to a temporary file and moved, so a task that runs again leaves the same file. Where the shared folder is
-mounted on the workers its files are mapped in place; from any other store a worker fetches a file
-once, maps it and unlinks it, so nothing stays in its own folder.
+mounted on the workers its files are mapped in place; from any other store a worker fetches a file, maps it and unlinks it,
+so nothing stays in its own folder. It holds MOST_FETCHED bytes of such copies at most: the longest held goes first, and is
+fetched again when it is needed. Lookups go through the ranges in order, so that is once per slice of documents at worst.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from .common import folder
 #: Arrays that this worker process has mapped, up to a number that a system allows; the longest held goes first.
 MOST_MAPPED = 16_384
 MAPPED: dict[tuple[str, str], np.ndarray] = {}
+#: Bytes of arrays that a worker process has copied from a store that it cannot map.
+MOST_FETCHED = 2**30
+FETCHED: dict[tuple[str, str], int] = {}
 
 
 def new_store(spark: SparkSession, name: str) -> str:
@@ -59,27 +63,45 @@ def put(uri: str, name: str, array: np.ndarray) -> None:
     fs.move(own, f"{path}/{name}.npy")
 
 
+def let_go(name: tuple[str, str]) -> None:
+    MAPPED.pop(name, None)
+    FETCHED.pop(name, None)
+
+
 def get(uri: str, name: str) -> np.ndarray:
     if (uri, name) not in MAPPED:
         for old in [k for k in MAPPED if k[0].rsplit("-", 1)[0] == uri.rsplit("-", 1)[0] and k[0] != uri]:
-            del MAPPED[old]  # a former run's
+            let_go(old)  # a former run's
         while len(MAPPED) >= MOST_MAPPED:
-            del MAPPED[next(iter(MAPPED))]
+            let_go(next(iter(MAPPED)))
         fs, path = _opened(uri)
         if isinstance(fs, pafs.LocalFileSystem):
             MAPPED[uri, name] = np.load(f"{path}/{name}.npy", mmap_mode="r")
         else:
-            handle, own = tempfile.mkstemp(suffix=".npy")
-            try:
-                with fs.open_input_stream(f"{path}/{name}.npy") as source, os.fdopen(handle, "wb") as out:
-                    while block := source.read(1 << 22):
-                        out.write(block)
-                MAPPED[uri, name] = np.load(own, mmap_mode="r")
-            finally:
-                os.unlink(own)
+            fetch(fs, f"{path}/{name}.npy", (uri, name))
     return MAPPED[uri, name]
 
 
+def fetch(fs: pafs.FileSystem, path: str, name: tuple[str, str]) -> None:
+    """Copies a file, maps the copy and unlinks it, after making room for it."""
+    size = fs.get_file_info(path).size
+    while FETCHED and sum(FETCHED.values()) + size > MOST_FETCHED:
+        let_go(next(iter(FETCHED)))
+    handle, own = tempfile.mkstemp(suffix=".npy")
+    try:
+        with fs.open_input_stream(path) as source, os.fdopen(handle, "wb") as out:
+            while block := source.read(1 << 22):
+                out.write(block)
+        MAPPED[name], FETCHED[name] = np.load(own, mmap_mode="r"), size
+    finally:
+        os.unlink(own)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or in 64 if one needs them."""
+    return counts.astype(np.uint32 if not len(counts) or int(counts.max()) < 2**32 else np.uint64)
+
+
 def squeeze(array: np.ndarray) -> bytes:
     """A whole-number array as compressed bytes, its bytes dealt by place so that small numbers take little room."""
     array = np.ascontiguousarray(array)
@@ -156,5 +178,5 @@ def blobs(shard: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> pa.Recor
         out["shard"].append(s)
         out["keys"].append(squeeze_sorted(keys[a:b]))
         for i, c in enumerate(columns):
-            out[f"c{i}"].append(squeeze(c[a:b].astype(np.uint32)))
+            out[f"c{i}"].append(squeeze(narrow(c[a:b])))
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in out.items()})
