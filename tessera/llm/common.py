@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -92,6 +94,24 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+#: Fixed by the contract of fingerprints.
+HASH_SEED = 42
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, lower-cased and joined by a space; of fewer words, of all of them; none of no words."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, n, of = b" ".join(words), len(words) - shingle + 1, xxhash.xxh64_intdigest
+    if n <= 1:
+        return np.array([of(joined, HASH_SEED)], np.uint64)
+    after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    ends = (after[shingle - 1 :] - 1).tolist()
+    starts = [0, *after[: n - 1].tolist()]
+    return np.array([of(joined[a:b], HASH_SEED) for a, b in zip(starts, ends)], np.uint64)
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the system; workers wait for further tasks, and their free memory adds up."""
     pa.default_memory_pool().release_unused()

@@ -12,6 +12,11 @@ Linked codes of a group are reduced to a spanning forest before they leave the t
 of all links come from star steps over the table of links. Links name codes, so that texts without an id link
 like others; a component is named by its smallest id at the end.
 
+Texts of a given similarity of their shingles are wider apart: at 0.8 of five words, 4 to 14 bits. An index of that
+radius would have 15 blocks of some 4 bits, which separate nothing. one_of_each() with a similarity therefore takes the
+index's links, and links of equal codes, as candidates, checks them by their whole sets of shingles, and has shingle_dups find what lies beyond
+the radius, so that no pair of that similarity is lost.
+
 Defined results: null and empty texts have fingerprint 0 and are linked like any other; ties and repeated
 rows share a code; an empty table gives no rows; other columns are not read.
 """
@@ -22,15 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aligned, cut, map_rows, typed, utf8
+from .common import aligned, cut, map_rows, shingle_hashes, typed
 from .components import components
+from .shingle_dups import classes_of
 
 SHINGLE = 3
-HASH_SEED = 42
 MAX_BITS = 3
 #: A group of more codes is cut into finer ones.
 GROUP = 4096
@@ -41,18 +45,10 @@ FRONTIER = 2_000_000
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed number."""
-    words = utf8(text).lower().split()
-    n = len(words) - shingle + 1
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     if n <= 1:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, HASH_SEED)).view(np.int64))
-    after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    ends = (after[shingle - 1 :] - 1).tolist()
-    starts = [0, *after[: n - 1].tolist()]
-    of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[a:b], HASH_SEED) for a, b in zip(starts, ends)], np.uint64)
+        return int(hashes.view(np.int64)[0]) if n else 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > n
     return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
@@ -197,8 +193,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = GROUP)
     return joined.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the near-duplicates: of each class one row of its smallest id stays. Rows without an id stay, since none can name them."""
-    first = near_duplicates(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select("doc_id").distinct()
+def near_pairs(texts: DataFrame, shingle: int) -> DataFrame:
+    """a, b: pairs of nodes of texts(node, text), enough to connect all whose fingerprints are equal or differ in 3 bits or fewer."""
+    marked = cut(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle).distinct())
+    codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    equal = marked.join(codes, "fp").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    near = near_links(codes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(near)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """docs without the near-duplicates: of each class one row of its smallest id stays. Rows without an id stay, since none can name them.
+
+    Classes are those of near_duplicates(); with `similarity`, of texts whose sets of shingles have that Jaccard similarity. Then equal texts are
+    one node, named by a 64-bit hash; case and blanks do not matter; a text of fewer words than a shingle is one shingle; null, empty and blank texts are equal.
+    """
+    if similarity is None:
+        first = near_duplicates(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    else:
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+        of = texts.select("node", "text")
+        nodes = texts.groupBy("node").agg(F.min("doc_id").alias("least"))
+        classed = nodes.join(classes_of(of, near_pairs(of, shingle), shingle, similarity), "node", "left")
+        first = classed.groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
