@@ -4,16 +4,18 @@ import collections
 import hashlib
 import math
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import html_text, kneser_ney, mixing, packing, quality, simhash, suffix_repeats, token_counts, url_rules, vector_dups
+from tessera.llm import html_text, kneser_ney, mixing, packing, quality, simhash, store, suffix_repeats, token_counts, url_rules, vector_dups
 from tessera.llm.components import components as connected
 from tests.llm.conftest import components, odd_documents
 
@@ -172,6 +174,30 @@ def test_scores_without_training(spark, none):
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (True, 3, 0, 0, 0.0, 0.0)
 
 
+def test_counts_above_32_bits():
+    keys = np.array([3, 5, 9], np.uint64)
+    batch = store.blobs(np.zeros(3, np.int64), keys, np.array([1, 2**32 + 7, 2**40]), np.array([1, 2, 3]))
+    found, large, small = kneser_ney.unblob(pa.Table.from_batches([batch, batch]), 2)
+    assert (found.tolist(), large.tolist(), small.tolist()) == ([3, 5, 9], [2, 2**33 + 14, 2**41], [2, 4, 6])
+    assert store.narrow(np.array([2**32 - 1])).dtype == np.uint32 and store.narrow(np.array([2**32])).tolist() == [2**32]
+    kneser_ney.numbered_apart(2**32 - 2)
+    with pytest.raises(OverflowError):
+        kneser_ney.numbered_apart(2**32 - 1)
+
+
+def test_fetched_arrays_are_bounded(tmp_path, monkeypatch):
+    """From a store that cannot be mapped a worker holds a bounded number of bytes and fetches again what went."""
+    arrays = {f"a-{i}": np.arange(1000) + i for i in range(6)}
+    for name, x in arrays.items():
+        store.put(f"file://{tmp_path}", name, x)
+    monkeypatch.setattr(store, "MOST_FETCHED", 20_000)
+    monkeypatch.setattr(store.pafs, "LocalFileSystem", type("Other", (), {}))
+    for name in [*arrays, *reversed(arrays)]:
+        assert (store.get(f"file://{tmp_path}", name) == arrays[name]).all() and sum(store.FETCHED.values()) <= 20_000
+    for name in list(store.FETCHED):
+        store.let_go(name)
+
+
 def test_held_out_score_beats_the_base(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = kneser_ney.score(frame).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
@@ -253,20 +279,26 @@ def test_embeddings_link_through_rows_without_id(spark):
 def test_a_block_keeps_its_links_connected(order):
     """Whichever of a chain's three vectors has the largest number, the block connects them all."""
     x = np.array([[math.cos(math.radians(d)), math.sin(math.radians(d))] for d in order])
-    table = pa.table({"node": list(range(3)), "size": [1] * 3, "side": [0] * 3, "vector": [r.tobytes() for r in x], "signs": [b""] * 3})
-    assert len(set(vector_dups.compare(table, 0, True, 0.9, "<f8")[2].tolist())) == 1
+    table = pa.table({"node": list(range(3)), "size": [1] * 3, "side": [0] * 3, "vector": [r.tobytes() for r in x]})
+    assert len(set(vector_dups.compare(table, 0, True, 0.9, "<f8", *vector_dups.plan(3))[2].tolist())) == 1
 
 
 def test_blocks_of_a_large_bucket(spark):
     """All vectors of one bucket in blocks of three: as in one piece."""
     pick = np.random.default_rng(2)
     reps = spark.createDataFrame([(i, 1, (np.ones(8) + 0.2 * pick.standard_normal(8)).tolist()) for i in range(40)], "node long, size long, vector array<double>")
-    k, tables, width = vector_dups.plan(40)
-    hashed = vector_dups.hashed(reps, k, tables, width)
-    sums = [sorted(map(tuple, vector_dups.linked(hashed, 0.9, "<f8", block=b).groupBy("node").agg(F.sum("links"), F.min("least")).collect())) for b in (3, 1000)]
+    plan = vector_dups.plan(40)
+    sums = [sorted(map(tuple, vector_dups.linked(reps, 0.9, *plan, block=b).groupBy("node").agg(F.sum("links"), F.min("least")).collect())) for b in (3, 1000)]
     assert sums[0] == sums[1] and len(sums[0]) == 40
 
 
+def test_embeddings_of_any_length(spark):
+    """Neither large nor tiny norms lose a link."""
+    rows = [(i, [x * y for y in (0.6, 0.8, -0.1)]) for i, x in enumerate([1.0, 1e200, 1e-200, 5e-320, 1e308])] + [(5, [1.0, 0.0, 0.0])]
+    got = by_id(vector_dups.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999), "vec_id")
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(4, 0)] * 5 + [(0, 5)]
+
+
 # 6
 
 
@@ -362,7 +394,7 @@ def test_packing(request, which):
         for start, length, crc, total in spans:
             assert any(len(c) == total and zlib.crc32(c[start : start + length].tobytes()) == crc for c in copies)
     used = sum(p["length"] for p in pieces)
-    assert len(sequences) <= used / 2048 + frame.rdd.getNumPartitions()
+    assert len(sequences) <= used / 2048 + 8
 
 
 def test_packer_minimises_the_sum_of_squares():
@@ -382,13 +414,19 @@ def test_packer_minimises_the_sum_of_squares():
         options = [0, *(h for h in range(1, 12 - size + 1) if before[h])]
         assert level in options and after(level) == min(map(after, options))
         packer.add(i, np.zeros(size, "<u4").tobytes())
-    packer.close_out()
+    packer.close_open()
     assert sum(r[2] for r in packer.rows) == sum(r[4] for r in {r[0]: r for r in packer.rows}.values())
-    small = packing.Packer(0, window=12, max_open=2)
-    for i in range(50):
-        small.add(i, np.zeros(5 + i % 3, "<u4").tobytes())
-    small.close_out()
-    assert sum(r[2] for r in small.rows) == sum(5 + i % 3 for i in range(50))
+
+
+@pytest.mark.parametrize("parts", [1, 8, 32, 200])
+def test_packing_of_many_partitions(spark, parts):
+    """Small partitions pad no more than one: a document is cut at full windows only, and one window in a hundred would be too many for padding."""
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts), WORD).collect()
+    used, windows = sum(p["length"] for p in pieces), collections.Counter()
+    for p in pieces:
+        windows[p["sequence_id"]] += p["length"]
+        assert p["start"] % 2048 == 0 and p["length"] == min(2048, p["doc_tokens"] - p["start"])
+    assert max(windows.values()) <= 2048 and len(windows) <= 1.02 * used / 2048 + 10
 
 
 def test_packing_nothing(none):
@@ -408,17 +446,89 @@ def test_packing_nothing(none):
         ("<head><title>no</title><style>no</style></head><body>yes<script>'</p>no'</script>", "yes"), ("<p hidden>no</p><p style='DISPLAY : none'>no</p>yes", "yes"),
         ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"), ("<details><summary>s</summary>no</details><details open>yes</details>", "s\nyes"),
         ("&lt;b&gt; &amp &eacute;&nbsp;x", "<b> & é x"), ("a <!-- no > --> b<!-- open", "a b"), ("1 < 2 <3 & 4", "1 < 2 <3 & 4"), ("<a title='>' href=x>y</a>", "y"), ("yes<a href='open", "yes"),
-        ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<blockquote>q</blockquote>e", "  q\n\ne"), ("<textarea> k\n&amp;</textarea>", " k\n&"), ("<noscript>no</noscript><template>no</template>t", "t"), ("<b>a</b><i>b</i> c", "ab c"),
+        ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<blockquote>q</blockquote>e", "  q\n\ne"), ("<textarea> k\n&amp;</textarea>", " k\n&"), ("<svg><title>no</title><path/>no<text>yes</text></svg><math><mi>x</mi><annotation>no</annotation></math>", "yes\nx"), ("<object data=a>no</object><object>yes</object>", "yes"),
+        ("<table><tr style=visibility:hidden><td>no<td style=visibility:visible>yes<tbody style=display:none><tr><td>no</table>", "yes"), ("<noscript>no</noscript><template>no</template>t", "t"), ("<b>a</b><i>b</i> c", "ab c"),
     ],
 )
 def test_rendering(page, text):
     assert html_text.visible_text(page) == text
 
 
+class Walker(HTMLParser):
+    """Visible text by another parser, without layout: only the marks of list items."""
+
+    SKIPPED = {"head", "title", "script", "style", "template", "noscript", "datalist", "iframe", "noembed", "noframes", "audio", "video", "canvas"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        if tag in html_text.VOID:
+            return
+        if tag == "li":
+            while self.open and self.open[-1][0] not in ("ul", "ol", "menu", "dir"):
+                self.open.pop()
+        style = (given.get("style") or "").replace(" ", "").lower()
+        hidden = bool(self.open and self.open[-1][1]) or tag in self.SKIPPED or "hidden" in given or "display:none" in style or (tag == "dialog" and "open" not in given)
+        closed = [i for i, x in enumerate(self.open) if x[0] == "details" and x[3]]
+        hidden = hidden or bool(closed and not any(x[0] == "summary" for x in self.open[closed[-1] + 1 :]) and tag != "summary")
+        unseen = bool(self.open and self.open[-1][2])
+        if "visibility:" in style:
+            unseen = "visibility:visible" not in style
+        self.open.append([tag, hidden, unseen, tag == "details" and "open" not in given, int(given.get("start") or 1)])
+        if tag == "li" and not hidden:
+            outer = self.open[-2] if len(self.open) > 1 else [""] * 5
+            number = int(given.get("value") or (outer[4] if outer[0] == "ol" else 1))
+            if outer[0] == "ol":
+                outer[4] = number + 1
+            self.found.append(["mark", f"{number}." if outer[0] == "ol" else "-"])
+
+    def handle_endtag(self, tag):
+        if any(x[0] == tag for x in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        top = self.open[-1] if self.open else ["", False, False, False, 1]
+        if not top[1] and not top[2] and not top[3]:
+            self.found.append(["text", "".join(data.split())])
+
+    def text(self):
+        self.close()
+        out, mark = [], ""
+        for kind, x in self.found:  # an item without text has no mark
+            if kind == "mark":
+                mark += x
+            elif x:
+                out.append(mark + x)
+                mark = ""
+        return "".join(out)
+
+
+def test_rendering_keeps_the_text_that_another_parser_sees():
+    """The characters of every page, blanks apart, in their order; tables are compared without order, as cells stand side by side."""
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        walker = Walker()
+        walker.feed(page or "")
+        got, want = "".join(html_text.visible_text(page).split()), walker.text()
+        assert collections.Counter(got) == collections.Counter(want) if "<table" in (page or "") else got == want
+
+
 def test_rendering_odd_pages(spark):
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000 + "after"
     assert html_text.visible_text(deep).split() == ["deep", "after"]
     assert html_text.visible_text("<table><tr><td>" * 300 + "x").strip() == "x"
+    deep = "<div>" * 5000
+    assert html_text.visible_text(deep + "<p hidden>secret</p>shown") == "shown"
+    assert html_text.visible_text(deep + "<details><summary>s</summary>secret</details>shown") == "s\nshown"
+    assert html_text.visible_text(deep + "<div style='visibility:hidden'>" + deep + "no<b style='visibility:visible'>yes") == "yes"
+    assert html_text.visible_text(deep + "<pre> x\n  y </pre><ul><li>z<ul><li>w") == " x\n  y\n\n- z\n  - w"
+    items = html_text.visible_text("<ul><li>x" * 5000).split("\n")
+    assert len(items) == 5000 and items[1] == "  - x" and items[-1] == " " * 80 + "- x"
+    assert html_text.visible_text("<table>" + "<tr><td rowspan=1000>a" * 50 + "<tr><td colspan=1000>b<td>c").split() == ["a"] * 50 + ["b", "c"]
     assert html_text.visible_text("<b a='" * 5000) == "" and html_text.visible_text("<p>" * 5000 + "z") == "z"
     long = "<p>" + "word " * 200_000
     frame = spark.createDataFrame([(1, long, "t"), (2, None, "t"), (3, "", "t"), (3, "", "t"), (None, "<p>é", "t")], "page_id long, html string, text string")
@@ -470,16 +580,88 @@ def test_quality_keeps_clean_documents(spark):
     assert n[1, False, False] <= 0.01 * n[1, True, False] and n[0, True, False] <= 0.1 * n[0, False, False]
 
 
-def test_sketches_merge_to_the_same_quantiles(spark):
-    """Quantiles of merged halves are those of the whole, and near the true ones."""
-    pick = np.random.default_rng(8)
-    x = np.sort(pick.lognormal(0, 1, 4000))
-    frame = spark.createDataFrame([("en", "a" if i % 3 else "b", 100, int(v * 1e6), 0, 0, 0, 1, 0, 0) for i, v in enumerate(x)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long")
-    parts = quality.sketches(frame)
-    whole = quality.merged(parts, ["lang"])
-    low, high = quality.fences(whole, ["lang"]).first()["fence"]["chars_per_word"]
-    q1, q2, q3 = (x[int(q * 4000)] * 1e4 for q in (0.25, 0.5, 0.75))
-    assert (low + high) / 2 == pytest.approx(q2, rel=0.012) and (high - low) / 2 == pytest.approx(6 * (q3 - q1) + 1.5, rel=0.05)
+def plain_measures(r):
+    rate, share = (lambda k, n: math.log((k + 0.5) / (n + 0.5))), (lambda k, n: math.log((k + 0.5) / (n - k + 0.5)))
+    return {
+        "symbols_per_word": rate(r["n_symbols"], r["n_words"]), "chars_per_word": rate(r["word_chars"], r["n_words"]), "dup_line_share": share(r["n_dup_lines"], r["n_lines"]),
+        "repeat_share": share(r["n_repeat_words"], r["n_words"]), "upper_share": share(r["n_upper"], r["word_chars"]), "marks_per_word": rate(r["n_marks"], r["n_words"]),
+    }
+
+
+def plain_fences(rows):
+    """Fences of each (lang, source) by plain counting: every document a weight of one, the wider sketch's weights added."""
+    good = [r for r in rows if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    sketch = collections.defaultdict(collections.Counter)
+    for r in good:
+        for m, v in plain_measures(r).items():
+            for key in ((), (r["lang"],), (r["lang"], r["source"])):
+                sketch[m, key][math.floor(v / 0.01)] += 1
+
+    def blended(m, key):
+        out = collections.Counter(sketch[m, key])
+        if key:
+            wide = blended(m, key[:-1])
+            for b, w in wide.items():
+                out[b] += 50 * w / sum(wide.values())
+        return out
+
+    def at(weights, q):
+        seen = 0
+        for b in sorted(weights):
+            seen += weights[b]
+            if seen >= (q - 1e-9) * sum(weights.values()):
+                return b
+
+    def wide(weights, side, middle):
+        return max(side * (at(weights, 0.5 + side * (q - 0.5)) - middle) / d for q, d in ((0.75, 0.6745), (0.85, 1.0364)))
+
+    own = {(m, key): blended(m, key) for m, key in list(sketch) if len(key) == 2}
+    apart = collections.defaultdict(collections.Counter)
+    for m, key in own:
+        for b, w in sketch[m, key].items():
+            apart[m, key[0]][b - at(own[m, key], 0.5)] += w
+    out = {}
+    for (m, key), weights in own.items():
+        middle = at(weights, 0.5)
+        far = {s: quality.FENCE * max(wide(weights, s, middle), wide(apart[m, key[0]], s, 0) / 2) for s in (-1, 1)}
+        out[*key, m] = (0.01 * (middle - far[-1]), 0.01 * (middle + far[1] + 1))
+    return out
+
+
+def made_up(groups, seed=5):
+    """Counts of documents; each group (lang, source, documents, symbols per word, share of bad ones)."""
+    pick, rows = np.random.default_rng(seed), []
+    for lang, source, n, rate, bad in groups:
+        for i in range(n):
+            words = int(pick.integers(50, 900))
+            rows.append((len(rows), lang, source, words, int(words * pick.normal(5, 0.1)), 2 * words if i < bad * n else int(pick.poisson(rate * words)), 0, int(pick.integers(0, 3)), int(pick.integers(1, 20)), int(words * pick.uniform(0.05, 0.1)), int(pick.poisson(0.01 * words))))
+    return rows
+
+
+FEATURES = f"doc_id long, lang string, source string, {quality.COUNTS}"
+
+
+def test_fences_by_plain_counting(spark):
+    """Groups of 1, 199, 200 and more documents, and of no language or source; sources of other tails get other fences."""
+    groups = [("en", "one", 1, 0.01, 0), ("en", "a", 199, 0.1, 0.05), ("en", "b", 200, 0.1, 0.05), ("en", "calm", 1500, 0.05, 0.1), ("en", "lively", 1500, 0.3, 0.1), ("de", "a", 40, 0.01, 0), (None, "a", 3, 0.5, 0), ("en", None, 30, 0.01, 0)]
+    frame = spark.createDataFrame(made_up(groups), FEATURES)
+    want = plain_fences([r.asDict() for r in frame.collect()])
+    got = {(r["lang"], r["source"], m): tuple(f) for r in quality.thresholds(frame).collect() for m, f in r["fence"].items()}
+    assert set(got) == set(want) and len(got) == 6 * len(groups)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    high = {g: got["en", g, "symbols_per_word"][1] for g in ("a", "b", "calm", "lively")}
+    assert high["lively"] > high["calm"] + 0.5 and abs(high["a"] - high["b"]) < 0.5  # no step at some size
+    judged = quality.verdicts(frame, quality.thresholds(frame)).groupBy("source", (F.col("n_symbols") == 2 * F.col("n_words")).alias("bad"), "kept").count().collect()
+    n = collections.Counter({(r["source"], r["bad"], r["kept"]): r["count"] for r in judged})
+    assert all(not n[s, True, True] and n[s, False, False] <= 0.01 * n[s, False, True] for s in ("a", "b", "calm", "lively"))
+
+
+def test_sketches_merge(spark):
+    """The sketch of a whole is the sum of its parts' sketches."""
+    frame = spark.createDataFrame(made_up([("en", "a", 300, 0.01, 0.1), ("en", "b", 100, 0.05, 0)]), FEATURES)
+    halves = [quality.sketches(frame.filter(f"doc_id % 2 = {i}")) for i in (0, 1)]
+    as_set = lambda f: {(r["measure"], tuple(map(tuple, r["h"])), r["total"]) for r in quality.merged(f, ["lang"]).collect()}
+    assert as_set(halves[0].unionByName(halves[1])) == as_set(quality.sketches(frame))
 
 
 # 10
