@@ -112,6 +112,12 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([of(joined[a:b], HASH_SEED) for a, b in zip(starts, ends)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes, as a signed 64-bit number."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the system; workers wait for further tasks, and their free memory adds up."""
     pa.default_memory_pool().release_unused()

@@ -2,17 +2,30 @@
 
 Each step is a few joins and aggregations over the links, written to the checkpoint folder, so neither links
 nor components reach the driver; the steps end when they change nothing. A hub is handled by partial
-aggregation and by joins that adaptive execution splits.
+aggregation; in the joins its links are one task's, a row at a time.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Joins the classes of a[i] and b[i]; label[i] is a smaller or equal member of i's class."""
+    while len(a):
+        ra, rb = label[a], label[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+    return label
+
+
 def _digest(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

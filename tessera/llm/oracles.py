@@ -39,10 +39,11 @@ def repeats() -> str:
 
 def quality_rules() -> str:
     q = quality
-    rate, share = (lambda k, n: f"ln(({k} + 0.5) / ({n} + 0.5))"), (lambda k, n: f"ln(({k} + 0.5) / ({n} - {k} + 0.5))")
+    rate = lambda k, n: f"ln(({k} + {q.HALF}) / ({n} + {q.HALF}))"
+    share = lambda k, n, half=q.HALF: f"ln(({k} + {half}) / ({n} - {k} + {half}))"
     measures = {
         "symbols_per_word": rate("n_symbols", "n_words"), "chars_per_word": rate("word_chars", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars"), "marks_per_word": rate("n_marks", "n_words"),
+        "repeat_share": share("n_repeat_words", "n_words", q.HALF_PASSAGE), "upper_share": share("n_upper", "word_chars"), "marks_per_word": rate("n_marks", "n_words"),
     }
     double = lambda x: f"CAST({x!r} AS DOUBLE)"
     listed = ", ".join(f"struct_pack(measure := '{k}', v := {v})" for k, v in measures.items())

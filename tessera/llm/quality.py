@@ -2,7 +2,7 @@
 
 Every document gets a few measures, each a count k beside a size n. They are compared on a logarithmic scale:
 ln((k + 1/2) / (n + 1/2)) for a rate, ln((k + 1/2) / (n - k + 1/2)) for a share, where a count of nothing says the less
-the shorter the document is. The measures of the documents that pass the base rules are summarised per (language,
+the shorter the document is. Words repeat as passages of some ten words, so half a count of those is 5. The measures of the documents that pass the base rules are summarised per (language,
 source) in a quantile sketch: counts of buckets of fixed width on that scale. Adding two sketches is adding
 their counts, so partial sketches merge in any order to the same result, and a rerun agrees.
 
@@ -44,6 +44,8 @@ FENCE = 4.5
 PRIOR = 50
 #: Quantiles on either side of the median and their distances from it in a normal distribution.
 TAILS = {0.75: 0.6745, 0.85: 1.0364}
+#: Half a count, and half a repeated passage, in words.
+HALF, HALF_PASSAGE = 0.5, 5.0
 #: Width of a bucket; a measure is known to one per cent.
 STEP = 0.01
 #: Running sums of weights are equal within this share of the total.
@@ -129,13 +131,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
 
 def measures() -> dict[str, Column]:
     """The measures on their logarithmic scale."""
-    rate = lambda k, n: F.log((F.col(k) + 0.5) / (F.col(n) + 0.5))
-    share = lambda k, n: F.log((F.col(k) + 0.5) / (F.col(n) - F.col(k) + 0.5))
+    rate = lambda k, n: F.log((F.col(k) + HALF) / (F.col(n) + HALF))
+    share = lambda k, n, half=HALF: F.log((F.col(k) + half) / (F.col(n) - F.col(k) + half))
     return {
         "symbols_per_word": rate("n_symbols", "n_words"),
         "chars_per_word": rate("word_chars", "n_words"),
         "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"),
+        "repeat_share": share("n_repeat_words", "n_words", HALF_PASSAGE),
         "upper_share": share("n_upper", "word_chars"),
         "marks_per_word": rate("n_marks", "n_words"),
     }

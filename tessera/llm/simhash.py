@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aligned, cut, map_rows, shingle_hashes, typed
-from .components import components
+from .common import aligned, cut, majority, map_rows, shingle_hashes, typed
+from .components import components, merge_labels
 from .shingle_dups import classes_of
 
 SHINGLE = 3
@@ -46,12 +46,7 @@ FRONTIER = 2_000_000
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text's word shingles, as a signed number."""
     hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    if n <= 1:
-        return int(hashes.view(np.int64)[0]) if n else 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64) * 2 > n
-    return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
+    return majority(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -106,18 +101,6 @@ def grouped(codes: DataFrame, limit: int = GROUP) -> DataFrame:
         rows = sized.filter(split).select("fp", "node", F.explode(finer[F.col("mask")]).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
-def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Joins the classes of a[i] and b[i]; label[i] is a smaller or equal member of i's class."""
-    while len(a):
-        ra, rb = label[a], label[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (up := label[label]).tobytes() != label.tobytes():
-            label = up
-    return label
-
-
 class GrayIndex:
     """Codes in groups, each group sorted by Gray rank, under nodes that hold shared bit patterns."""
 

@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, stream_groups, typed
-from .components import components
-from .simhash import merge_labels
+from .components import components, merge_labels
 
 COSINE = 0.9
 RECALL = 0.98
