@@ -581,10 +581,10 @@ def test_quality_keeps_clean_documents(spark):
 
 
 def plain_measures(r):
-    rate, share = (lambda k, n: math.log((k + 0.5) / (n + 0.5))), (lambda k, n: math.log((k + 0.5) / (n - k + 0.5)))
+    rate, share = (lambda k, n: math.log((k + 0.5) / (n + 0.5))), (lambda k, n, half=0.5: math.log((k + half) / (n - k + half)))
     return {
         "symbols_per_word": rate(r["n_symbols"], r["n_words"]), "chars_per_word": rate(r["word_chars"], r["n_words"]), "dup_line_share": share(r["n_dup_lines"], r["n_lines"]),
-        "repeat_share": share(r["n_repeat_words"], r["n_words"]), "upper_share": share(r["n_upper"], r["word_chars"]), "marks_per_word": rate(r["n_marks"], r["n_words"]),
+        "repeat_share": share(r["n_repeat_words"], r["n_words"], 5), "upper_share": share(r["n_upper"], r["word_chars"]), "marks_per_word": rate(r["n_marks"], r["n_words"]),
     }
 
 
