@@ -146,11 +146,26 @@ def cell_of_variant(document: Column, name: str) -> Column:
     return F.struct(kind.cast("tinyint").alias("t"), value(2, "boolean").alias("b"), value(3, "bigint").alias("n"), value(4, "double").alias("d"), value(5, "string").alias("s"))
 
 
-def last_states(log: DataFrame, namespace: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of each key in the log its last image: documents that are there now, and keys that are gone."""
+def logged_cells(log: DataFrame, namespace: str, columns: list[str]) -> DataFrame:
+    """op, index, row of a namespace's documents in the log, as tagged cells."""
     own = log.filter((F.col("ns") == namespace) & F.col("op").isin("i", "u", "d"))
     parsed = F.parse_json("o")
-    cells = own.select("op", F.col(ID).alias("index"), F.struct(*[cell_of_variant(parsed, c).alias(c) for c in [ID, *columns]]).alias("row"))
-    last = cells.groupBy(F.col("row")[ID].alias("key")).agg(F.max_by(F.struct("op", "row"), "index").alias("image"))
+    return own.select("op", F.col(ID).alias("index"), F.struct(*[cell_of_variant(parsed, c).alias(c) for c in [ID, *columns]]).alias("row"))
+
+
+def check_applicable(log: DataFrame, namespace: str, frame: DataFrame, columns: list[str]) -> None:
+    """Refuses a log whose first entry of a key inserts it beside another document, or updates it where it is not held."""
+    first = logged_cells(log, namespace, columns).groupBy(F.col("row")[ID].alias("key")).agg(F.min_by(F.struct("op", "row"), "index").alias("first"))
+    held = frame.select(quoted(ID).alias("key"), F.struct(*[quoted(c) for c in [ID, *columns]]).alias("held"))
+    met = first.filter("first.op <> 'd'").join(held, "key", "left")
+    wrong = met.filter(((F.col("first.op") == "u") & F.col("held").isNull()) | ((F.col("first.op") == "i") & F.col("held").isNotNull() & ~F.col("held").eqNullSafe(F.col("first.row"))))
+    found = wrong.select("first.op").first()
+    if found is not None:
+        raise StorageError("change log updates a document that is not there" if found[0] == "u" else "change log inserts another document under a key that is held")
+
+
+def last_states(log: DataFrame, namespace: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of each key in the log its last image: documents that are there now, and keys that are gone."""
+    last = logged_cells(log, namespace, columns).groupBy(F.col("row")[ID].alias("key")).agg(F.max_by(F.struct("op", "row"), "index").alias("image"))
     images = last.filter("image.op <> 'd'").select(*[F.col("image.row")[c].alias(c) for c in [ID, *columns]])
     return images, last.filter("image.op = 'd'").select(F.col("key").alias(ID))

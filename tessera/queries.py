@@ -23,7 +23,7 @@ from .operators import cursors, kv, reads, writes
 from .plans.filters import predicate
 from .plans.pipeline import aggregate
 from .plans.updates import updated
-from .sources.files import Folder
+from .sources.files import Folder, shared_folder
 from .sources.tables import table
 from .streaming import changelog
 
@@ -38,8 +38,8 @@ COLUMNS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"],
-    "events": ["event_id", "user_id", "event_type", "value", "props"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
 }
 
@@ -91,7 +91,6 @@ add_find("find_null_literal", "customer", {"c_mktsegment": None}, "c_mktsegment
 add_find("find_undeclared_field", "customer", {"city": "x"}, "FALSE")
 add_find("find_documents_by_lang_and_source", "documents", {"lang": "de", "source": "src0"}, "lang = 'de' AND source = 'src0'")
 add_find("find_string_props", "events", {"event_type": "purchase"}, "event_type = 'purchase'")
-add("find_unknown_collection", lambda spark, d: reads.find(collection(spark, d, "nation").limit(0)), f"{sql('nation')} LIMIT 0")
 
 # order, skip, limit, paging
 add_find("find_skip", "nation", None, "", "ORDER BY n_nationkey LIMIT 1000 OFFSET 20", skip=20)
@@ -99,7 +98,6 @@ add_find("find_limit", "orders", None, "", "ORDER BY o_orderkey LIMIT 100", limi
 add_find("find_skip_limit", "customer", {"c_mktsegment": "MACHINERY"}, "c_mktsegment = 'MACHINERY'", "ORDER BY c_custkey LIMIT 10 OFFSET 5", skip=5, limit=10)
 add_find("find_negative_skip_and_limit", "region", None, "", "", skip=-3, limit=-1)
 add_find("find_id_point_ignores_skip", "customer", {"_id": 42}, "c_custkey = 42", "", skip=1)
-add("find_single_batch", lambda spark, d: cursors.page_frame(collection(spark, d, "orders"), None, 50), f"{sql('orders')} ORDER BY o_orderkey LIMIT 50")
 
 
 def pages(frame: DataFrame, filter_doc: Any, size: int, limit: int | None = None) -> list[cursors.Page]:
@@ -239,7 +237,7 @@ add("remove_keys", lambda spark, d: writes.remove_keys(collection(spark, d, "nat
 # catalog
 def catalog(spark: SparkSession) -> Commands:
     """Commands on a fresh engine that declares the tables as collections of two databases, with two indexes."""
-    engine = Engine(spark, f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints')}/catalog-{uuid.uuid4().hex}")
+    engine = Engine(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
     with (session := engine.session()).transaction():
         for name, columns in COLUMNS.items():
             session.create_collection(Namespace("corpus" if name == "documents" else "tpch", name), columns[1:])
@@ -335,7 +333,7 @@ add("oplog_apply_twice", lambda spark, d: changelog.replayed(changelog.replayed(
 
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The log written in three steps, tailed as a stream after each, its images kept as the follower's state."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints')}/changes-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
     folder, log, state = Folder(spark, root), log_of(spark, d), {}
     folder.make("log")
     base = collection(spark, d, "nation").limit(0)
@@ -359,6 +357,5 @@ _kv = lambda spark, d: collection(spark, d, "customer").select(F.encode("c_name"
 _text = lambda f: f.select(F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").alias("value"))
 add("kv_range_scan", lambda spark, d: _text(kv.key_range(_kv(spark, d), b"Customer#000000100", b"Customer#000000200")), "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000200'")
 add("kv_range_scan_open", lambda spark, d: _text(kv.key_range(_kv(spark, d), b"Customer#000000100")), "SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name >= 'Customer#000000100'")
-add("index_cursor", lambda spark, d: collection(spark, d, "customer").select("c_mktsegment", ID).orderBy("c_mktsegment", ID), "SELECT c_mktsegment, c_custkey AS _id FROM customer")
 add("lineitem_rows", lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").filter(F.col("l_returnflag") == "R"), "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
 add("conversation_by_id", lambda spark, d: reads.find(table(spark, d, "conversations"), {"_id": "3-0"}), "SELECT conv_id || '-' || turn AS _id, conv_id, turn, role, text FROM conversations WHERE conv_id = 3 AND turn = 0")

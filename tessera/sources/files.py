@@ -1,12 +1,23 @@
-"""Small files in any store that Spark reaches: manifests are written whole and appear at once."""
+"""Small files in a store that Spark reaches: manifests are written whole and appear at once.
+
+That needs a rename that is one step and refuses a name that is held; stores of the schemes in RENAMES have it. Others, where a
+rename is a copy, are refused for writing, as two writers could both publish.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import StorageError
+
+
+#: Schemes of stores with such a rename.
+RENAMES = {"file", "hdfs", "viewfs", "abfs", "abfss", "ofs", "o3fs"}
+
 
 class Folder:
     """A folder, through the Hadoop file system of its path."""
@@ -36,6 +47,9 @@ class Folder:
 
     def publish(self, name: str, data: bytes) -> bool:
         """Writes a new file; False if it is there already. Readers see all of it or nothing."""
+        scheme = self._fs.getUri().getScheme()
+        if scheme not in RENAMES:
+            raise StorageError(f"a store of scheme {scheme} cannot publish in one step; use one of {sorted(RENAMES)}")
         own = f".{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(own), False)
         try:
@@ -57,9 +71,17 @@ class Folder:
         self._fs.mkdirs(self._path(name))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only for a session that runs on it alone."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise StorageError("spark.checkpoint.dir is not set: on a cluster it names the folder that driver and executors share")
+    return given or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
+
+
 def materialized(frame: DataFrame) -> DataFrame:
     """The frame written to the shared checkpoint folder, so that reading it twice gives the same rows in the same partitions."""
     sc = frame.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-checkpoints")
+        sc.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
