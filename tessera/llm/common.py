@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.files import shared_folder
+
 #: Separators of words: space and \t \n \v \f \r; bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,11 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of this machine only where none is set."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    return given or f"file://{tempfile.gettempdir()}/tessera-checkpoints"
-
+folder = shared_folder
 
 #: Applications whose workers have been given this package.
 SHIPPED: set[str] = set()
