@@ -54,6 +54,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), lambda rows: {"doc_id": rows["doc_id"], "fp": [fingerprint(x, shingle) for x in rows["text"]]}, "doc_id long, fp long")
 
 
+def set_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, fp of texts(node, text), each shingle counted once, as in the similarity of sets."""
+    one = lambda text: majority(hashes) if len(hashes := np.unique(shingle_hashes(text, shingle))) else 0
+    return map_rows(texts, lambda rows: {"node": rows["node"], "fp": list(map(one, rows["text"]))}, "node long, fp long")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -176,12 +182,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = GROUP)
     return joined.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_pairs(texts: DataFrame, shingle: int) -> DataFrame:
-    """a, b: pairs of nodes of texts(node, text), enough to connect all whose fingerprints are equal or differ in 3 bits or fewer."""
-    marked = cut(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle).distinct())
-    codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    equal = marked.join(codes, "fp").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    near = near_links(codes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def near_pairs(marked: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes of marked(node, fp), enough to connect all whose fingerprints are equal or differ in 3 bits or fewer."""
+    codes = cut(marked.groupBy("fp").agg(F.min("node").alias("code")))
+    equal = marked.join(codes, "fp").filter("node <> code").select(F.col("code").alias("a"), F.col("node").alias("b"))
+    near = near_links(codes.withColumnRenamed("code", "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return equal.unionByName(near)
 
 
@@ -197,7 +202,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float | Non
         texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
         of = texts.select("node", "text")
         nodes = texts.groupBy("node").agg(F.min("doc_id").alias("least"))
-        classed = nodes.join(classes_of(of, near_pairs(of, shingle), shingle, similarity), "node", "left")
+        marked = cut(set_fingerprints(of, shingle).distinct())
+        classed = nodes.join(classes_of(of, marked, near_pairs(marked), shingle, similarity), "node", "left")
         first = classed.groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()
     named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
