@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import mixing, queries
+from tessera.llm import mixing, queries, shingle_dups
 from tessera.llm.common import cut
 from tests.llm.conftest import COLUMNS, components, sentence
 from tests.llm.test_operators import plain_counts
@@ -62,10 +62,14 @@ def test_near_duplicate_stage(stages):
     assert as_text(rows(stages[2])) == as_text(without_near_copies(before))
 
 
-@pytest.mark.parametrize("which", ["odd", "given", "none", "copies"])
+@pytest.mark.parametrize("which", ["odd", "given", "none", "copies", "crowd"])
 def test_near_duplicates_by_five_words(request, spark, which):
-    """All pairs of similarity 0.8 or more by brute force; the copies are a text with one to eight words replaced, one copy without an id."""
-    if which == "copies":
+    """All pairs of similarity 0.8 or more by brute force; the copies are a text with one to eight words replaced, one copy without an id; the crowd's have one to four words replaced anywhere."""
+    if which == "crowd":
+        base, draw = sentence(12, 90).split(), np.random.default_rng(3)
+        crowd = [{int(at): f"w{i}" for at in draw.integers(0, 90, i % 4 + 1)} for i in range(150)]
+        frame = spark.createDataFrame([(i, " ".join(x.get(at, w) for at, w in enumerate(base)), "en", "s", 1) for i, x in enumerate(crowd)], COLUMNS)
+    elif which == "copies":
         base = sentence(11, 200).split()
         copies = [(100 - c if c != 2 else None, " ".join(base[: 20 * c] + [f"w{c}"] * c + base[21 * c :]), "en", "s", 1) for c in range(9)]
         frame = spark.createDataFrame(copies, COLUMNS)
@@ -124,3 +128,30 @@ def test_run(spark, stages, odd, none, tmp_path):
     for name, frame in (("odd", odd), ("none", none)):
         frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         assert (corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").count() > 0) == (name == "odd")
+
+
+def test_pairs_across_classes(rng=np.random.default_rng(5)):
+    """All pairs of different classes in each group, by brute force; with a limit, each row outside the largest class has its nearest."""
+    for rows, classes in ((60, 4), (200, 40), (5, 1)):
+        gram = np.sort(rng.integers(0, 6, rows))
+        part = {"gram": gram, "n": rng.integers(20, 30, rows), "place": rng.integers(0, 3, rows), "class": rng.integers(0, classes, rows)}
+        part["fp"] = rng.integers(0, 2**22, rows).astype(np.uint64)
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        sizes = np.diff(np.r_[first, rows])
+        a, b = np.triu_indices(rows, 1)
+        ok = (gram[a] == gram[b]) & (part["class"][a] != part["class"][b]) & shingle_dups.may_be_similar(part, a, b, 0.8, shingle_dups.WIDE)
+        expected = set(zip(a[ok].tolist(), b[ok].tolist()))
+
+        def pairs(nearest):
+            found = [x for a, b in shingle_dups.across(part, first, sizes, 0.8, nearest) for x in zip(a.tolist(), b.tolist())]
+            return found, {(min(x), max(x)) for x in found}
+
+        found, whole = pairs(None)
+        assert whole == expected and len(found) == len(whole)
+        found, some = pairs(2)
+        assert some <= expected and max(collections.Counter(x for x, _ in found).values(), default=0) <= 2
+        group = np.repeat(np.arange(len(first)), sizes)
+        away = lambda x, y: int(part["fp"][x] ^ part["fp"][y]).bit_count()
+        for q in shingle_dups.outside_largest(part["class"], group).tolist():
+            partners = [y if x == q else x for x, y in expected if q in (x, y)]
+            assert sorted(away(q, x) for y, x in found if y == q) == sorted(away(q, x) for x in partners)[:2]
