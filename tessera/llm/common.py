@@ -77,6 +77,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the checkpoints under frames that nothing needs any more, and lets the cluster drop the shuffles that led to them.
+
+    Only for frames whose successors are written already: no later job, nor the repeat of a lost task, reads them. Shuffle files go when the
+    driver collects its garbage, which a driver with room to spare does rarely; loops would leave those of all their steps.
+    """
+    for frame in frames:
+        sc = frame.sparkSession.sparkContext
+        leaves = frame._jdf.queryExecution().analyzed().collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if leaf.nodeName() == "Scan ExistingRDD" or leaf.getClass().getSimpleName() == "LogicalRDD":
+                file = leaf.rdd().getCheckpointFile()
+                if file.isDefined():
+                    path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+                    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

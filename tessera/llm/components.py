@@ -1,6 +1,6 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a few joins and aggregations over the links, written to the checkpoint folder, so neither links
+Each step is a few joins and aggregations over the links, written to the checkpoint folder in place of the step before, so neither links
 nor components reach the driver; the steps end when they change nothing. A hub is handled by partial
 aggregation; in the joins its links are one task's, a row at a time.
 """
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,8 +48,9 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _digest(links)
     while before[0]:
-        links = cut(_small_star(_large_star(links)))
+        older, links = links, cut(_small_star(_large_star(links)))
         after = _digest(links)
+        release(older)
         if after == before:
             break
         before = after

@@ -1,6 +1,7 @@
 """The pipeline: each stage against a brute-force version on its own input, and runs over odd and empty tables."""
 
 import collections
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import mixing, queries, shingle_dups
-from tessera.llm.common import cut
+from tessera.llm.common import cut, release
+from tessera.llm.components import components as component_frame
 from tests.llm.conftest import COLUMNS, components, sentence
 from tests.llm.test_operators import plain_counts
 
@@ -155,3 +157,18 @@ def test_pairs_across_classes(rng=np.random.default_rng(5)):
         for q in shingle_dups.outside_largest(part["class"], group).tolist():
             partners = [y if x == q else x for x, y in expected if q in (x, y)]
             assert sorted(away(q, x) for y, x in found if y == q) == sorted(away(q, x) for x in partners)[:2]
+
+
+def test_steps_of_components_leave_one_checkpoint(spark):
+    release(cut(spark.range(1)))
+    at = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(at.iterdir())
+    chain = spark.range(64).selectExpr("id as a", "id + 1 as b")
+    found = component_frame(chain)
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(1, 65)}
+    assert len(set(at.iterdir()) - before) == 1
+    release(found)
+    assert set(at.iterdir()) == before
+    kept = cut(spark.range(3))
+    release(spark.range(5))
+    assert kept.count() == 3
